@@ -51,14 +51,14 @@ def _means(spark, sf):
 # ---- sources and sinks ---------------------------------------------------------
 
 @query("s1_load_observations", f"""WITH {v.WIDE_SQL}
-SELECT row_id, group_id, round(y / 3, 6) AS y_third, round(quantity, 6) AS quantity,
+SELECT row_id, group_id, round(sqrt(abs(y)), 6) AS y_root, round(quantity, 6) AS quantity,
   round(acctbal, 6) AS acctbal, lines FROM wide""")
 def s1(spark, sf):
     path = scratch_path(spark, "observations")
     v.wide(spark, sf).write.option("header", True).csv(path)
     read = load_observations(spark, path)
     return read.select("row_id", F.col("GROUP_ID").alias("group_id"),
-                       r6(F.col("y") / 3, "y_third"), r6(col("step1.quantity"), "quantity"), r6(col("step3.acctbal"), "acctbal"),
+                       r6(F.sqrt(F.abs("y")), "y_root"), r6(col("step1.quantity"), "quantity"), r6(col("step3.acctbal"), "acctbal"),
                        col("step4.lines").alias("lines"))
 
 
@@ -414,14 +414,14 @@ def p21(spark, sf):
 # ---- joins and reshapes --------------------------------------------------------
 
 @query("j1_join_by_row", f"""WITH {v.SCALED_SQL}
-SELECT z.row_id, round(z.value, 6) AS quantity, epoch_us(end_time) AS micros, round(wide.y / 3, 6) AS y_third
+SELECT z.row_id, round(z.value, 6) AS quantity, epoch_us(end_time) AS micros, round(sqrt(abs(wide.y)), 6) AS y_root
 FROM z JOIN wide ON z.row_id = wide.row_id WHERE feature = 'step1.quantity'""")
 def j1(spark, sf):
     features = v.scaled(spark, sf).select(["step1.quantity"]).df.select("row_id", "features")
     response = v.cleaned(spark, sf).obs.df.select("row_id", "ts", "y")
     return features.join(response, "row_id").select(
         "row_id", F.round(F.col("features")[0], 6).alias("quantity"),
-        fn.time_number(F.col("ts")).cast("bigint").alias("micros"), r6(F.col("y") / 3, "y_third"))
+        fn.time_number(F.col("ts")).cast("bigint").alias("micros"), r6(F.sqrt(F.abs("y")), "y_root"))
 
 
 @query("j2_feature_pairs", f"""WITH {RHO_SQL}

@@ -94,7 +94,7 @@ def scaled(spark: SparkSession, sf_dir: str) -> Observations:
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_id, x0, x1)``: activity of a user on a day, with three planted groups.
 
-    The groups lie 40 units apart in the mean value, by user.
+    The groups lie 4000 units apart in the mean value, by user.
     """
     day = F.to_date("ts")
     grouped = table(spark, sf_dir, "events").groupBy("user_id", day.alias("day")).agg(
@@ -105,7 +105,7 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") * 100000 + F.date_diff(F.col("day"), F.lit("2020-01-01").cast("date")))
         .alias("row_id"),
         (F.col("n") / 4).alias("x0"),
-        (F.col("user_id") % 3 * 400 + F.col("v")).alias("x1"))
+        (F.col("user_id") % 3 * 4000 + F.col("v")).alias("x1"))
 
 
 # ---- SQL text of the same views ------------------------------------------------
@@ -168,5 +168,5 @@ USER_DAYS_SQL = """
 user_days AS (
   SELECT user_id * 100000 + date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS row_id,
     count(*) / CAST(4 AS DOUBLE) AS x0,
-    user_id % 3 * 400 + CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 / count(*) AS x1
+    user_id % 3 * 4000 + CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 / count(*) AS x1
   FROM events GROUP BY user_id, CAST(ts AS DATE))"""
