@@ -54,3 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Rows dealt evenly by a unique key, for data that many passes will read from cache."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
