@@ -31,7 +31,7 @@ def target_spearman(obs: Observations, rows: int, range_rows: int | None = None)
     per_value = counts_before(cells, ["idx"], "value", rows,
                               extra=[F.sum("ry").alias("sy"),
                                      F.sum(F.col("ry") * F.col("ry")).alias("syy")],
-                              range_rows=range_rows)
+                              range_rows=range_rows, n_keys=len(obs.names))
     rx = (average_rank() - (rows + 1) / 2) / rows
     sums = per_value.groupBy("idx").agg(
         F.sum("cnt").alias("n"), F.sum(rx * F.col("sy")).alias("sxy"),
@@ -40,8 +40,12 @@ def target_spearman(obs: Observations, rows: int, range_rows: int | None = None)
     return sums.join(F.broadcast(obs.dictionary()), "idx").select("feature", rho.alias("rho"), "n")
 
 
-def _correlations(sums: DataFrame, names: list[str], centred: bool) -> DataFrame:
-    """All ordered pairs ``(a, b, r)`` from product sums (position 0 = constant if not centred)."""
+def _correlations(sums: DataFrame, names: list[str], centred: bool,
+                  heads: list[str] | None = None) -> DataFrame:
+    """Ordered pairs ``(a, b, r)`` with a among ``heads`` (default all) from product sums.
+
+    Position 0 is the constant unless the columns are centred already.
+    """
     cells = sums.toPandas()
     width = int(cells["j"].max()) + 1
     table = np.zeros((width, width))
@@ -53,8 +57,10 @@ def _correlations(sums: DataFrame, names: list[str], centred: bool) -> DataFrame
     spread = np.sqrt(np.diag(table))
     with np.errstate(divide="ignore", invalid="ignore"):
         r = np.clip(table / np.outer(spread, spread), -1.0, 1.0)
-    flat = pd.DataFrame({
-        "a": np.repeat(names, len(names)), "b": np.tile(names, len(names)), "r": r.ravel()})
+    heads = names if heads is None else heads
+    place = {n: i for i, n in enumerate(names)}
+    flat = pd.DataFrame({"a": np.repeat(heads, len(names)), "b": np.tile(names, len(heads)),
+                         "r": r[[place[h] for h in heads]].ravel()})
     spark = sums.sparkSession
     out = spark.createDataFrame(flat, "a string, b string, r double")
     return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
@@ -67,15 +73,16 @@ def pearson(obs: Observations) -> DataFrame:
 
 
 def spearman(obs: Observations, rows: int, target: str = "target",
-             spots: DataFrame | None = None, range_rows: int | None = None) -> DataFrame:
+             spots: DataFrame | None = None, range_rows: int | None = None,
+             heads: list[str] | None = None) -> DataFrame:
     """``(a, b, r)`` for every ordered pair of features and the target.
 
     Each column is ranked once, however many pairs it takes part in; ``spots``
-    may hand in ranks that exist already.
+    may hand in ranks that exist already, ``heads`` restricts the first of a pair.
     """
     spots = rank_spots(obs, rows, range_rows) if spots is None else spots
     ranks = centred_ranks(spots, rows)
-    return _correlations(product_sums(ranks, F.col("ranks")), [target, *obs.names], centred=True)
+    return _correlations(product_sums(ranks, F.col("ranks")), [target, *obs.names], True, heads)
 
 
 def t_statistic(r: Column, n: Column) -> Column:

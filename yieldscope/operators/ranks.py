@@ -11,9 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yieldscope.sources.observations import Observations
 
@@ -23,8 +26,34 @@ BROADCAST_CELLS = 1_000_000   # largest value table sent to every executor
 HOT_SHARE = 1_000             # a value with more than 1/1000 of the rows is hot
 
 
+def _value_ranges(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
+    """``(*keys, bounds)``: values that cut each key's rows into equal shares.
+
+    Only quantile sketches are shuffled. The bounds are collected (at most
+    BOUND_CELLS numbers), so that every use of them, recomputed or not, agrees.
+    """
+    cuts = [i / ranges for i in range(1, ranges)]
+    sketch = F.percentile_approx(value, cuts, max(10000, 10 * ranges))
+    return df.groupBy(*keys).agg(F.array_sort(F.array_distinct(sketch)).alias("bounds"))
+
+
+def _place(bounds: list[np.ndarray], df: DataFrame):
+    """Column function giving the number of the range a value of a key lies in."""
+    shared = df.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf(T.IntegerType())
+    def place(key: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.zeros(len(key), dtype=np.int32)
+        for k, rows in key.groupby(key).indices.items():
+            out[rows] = np.searchsorted(shared.value[k], value.to_numpy()[rows])
+        return pd.Series(out)
+
+    return place
+
+
 def counts_before(df: DataFrame, keys: Sequence[str], value: str, rows_per_key: int,
-                  extra: Sequence[Column] = (), range_rows: int | None = None) -> DataFrame:
+                  extra: Sequence[Column] = (), range_rows: int | None = None,
+                  n_keys: int | None = None) -> DataFrame:
     """``(*keys, value, cnt, *extra, before)``: ``before`` counts smaller values of the key.
 
     ``rows_per_key`` bounds the rows any key can have; ``extra`` are further
@@ -33,38 +62,36 @@ def counts_before(df: DataFrame, keys: Sequence[str], value: str, rows_per_key:
     keys = list(keys)
     tallies = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *extra)
     ranges = math.ceil(rows_per_key / (range_rows or RANGE_ROWS))
-    if ranges <= 1:
+    if ranges <= 1 or not isinstance(df.schema[value].dataType, T.NumericType):
         earlier = (W.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
                    .rowsBetween(W.unboundedPreceding, -1))
         return tallies.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
 
-    tallies = tallies.persist()
-    tags = keys or ["__all"]
-    if not keys:
-        tallies = tallies.withColumn("__all", F.lit(0))
-    n_keys = tallies.select(*tags).distinct().count() if keys else 1
-    ranges = max(2, min(ranges, BOUND_CELLS // max(1, n_keys)))
-    cuts = [i / ranges for i in range(1, ranges)]
-    # Collected (at most BOUND_CELLS numbers), so that every use of the ranges,
-    # recomputed or not, sees the same bounds.
-    bounds = tallies.groupBy(*tags).agg(
-        F.array_sort(F.array_distinct(
-            F.percentile_approx(value, cuts, max(10000, 10 * ranges)))).alias("__bounds"))
-    fixed = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
-    within = (tallies.join(F.broadcast(fixed), tags)
-              .withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(value))))
-              .drop("__bounds"))
-    sizes = within.groupBy(*tags, "__range").agg(F.sum("cnt").alias("__size"))
-    earlier_ranges = (W.partitionBy(*tags).orderBy("__range")
+    if keys and n_keys is None:
+        n_keys = df.select(*keys).distinct().count()
+    ranges = max(2, min(ranges, BOUND_CELLS // max(1, n_keys or 1)))
+    cut = _value_ranges(df, keys, value, ranges).collect()
+    place = _place([np.array(r["bounds"]) for r in cut], df)
+    if keys:
+        fields = [df.schema[k] for k in keys]
+        numbers = df.sparkSession.createDataFrame(
+            [(*r[:-1], i) for i, r in enumerate(cut)],
+            T.StructType([*fields, T.StructField("__key", T.IntegerType())]))
+        tallies = tallies.join(F.broadcast(numbers), keys)
+    else:
+        tallies = tallies.withColumn("__key", F.lit(0))
+    within = tallies.withColumn("__range", place(F.col("__key"), F.col(value)))
+    sizes = within.groupBy("__key", "__range").agg(F.sum("cnt").alias("__size"))
+    earlier_ranges = (W.partitionBy("__key").orderBy("__range")
                       .rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select(*tags, "__range", F.coalesce(
+    offsets = sizes.select("__key", "__range", F.coalesce(
         F.sum("__size").over(earlier_ranges), F.lit(0)).alias("__offset"))
-    earlier = (W.partitionBy(*tags, "__range").orderBy(value)
+    earlier = (W.partitionBy("__key", "__range").orderBy(value)
                .rowsBetween(W.unboundedPreceding, -1))
     return (within.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
-            .join(F.broadcast(offsets), [*tags, "__range"])
+            .join(F.broadcast(offsets), ["__key", "__range"])
             .withColumn("before", F.col("before") + F.col("__offset"))
-            .drop("__range", "__offset", "__all"))
+            .drop("__range", "__offset", "__key"))
 
 
 def average_rank() -> Column:
@@ -112,7 +139,8 @@ def rank_spots(obs: Observations, rows: int, range_rows: int | None = None) -> D
     joined = obs.df.select("row_id", F.posexplode(
         F.concat(F.array(F.col("y").cast("double")), F.col("features"))).alias("idx", "value"))
     cells = rows * (len(obs.names) + 1)
-    places = counts_before(joined, ["idx"], "value", rows, range_rows=range_rows)
+    places = counts_before(joined, ["idx"], "value", rows, range_rows=range_rows,
+                           n_keys=len(obs.names) + 1)
     table = places.select("idx", "value", "cnt",
                           (F.col("before") * 2 + F.col("cnt")).cast("bigint").alias("spot"))
     return (attach_by_value(joined, table, ["idx", "value"], rows, cells)
