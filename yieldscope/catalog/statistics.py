@@ -24,13 +24,14 @@ def _rounded(df, *columns, digits=4):
 @query("a1_describe", f"""WITH {v.RAW_SQL}, s AS (SELECT feature, count(value) AS count, avg(value) AS mean,
   stddev_samp(value) AS std, min(value) AS min, {QUARTILES.format("value")}, max(value) AS max
 FROM lng GROUP BY feature)
-SELECT feature, count, round(mean, 4) AS mean, round(std, 4) AS std, round(min, 4) AS min,
-  round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75, round(max, 4) AS max FROM s""")
+SELECT feature, count, round(mean, 4) AS mean, round(std, 4) AS std, round(min, 6) AS min,
+  round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(max, 6) AS max FROM s""")
 def a1(spark, sf):
     from yieldscope.operators.prepare import drop_null_response
     obs = drop_null_response(v.observations(spark, sf))
     rows = v.cleaned(spark, sf).rows
-    return _rounded(profile.describe(obs, rows), "mean", "std", "min", "q25", "q50", "q75", "max")
+    stats = _rounded(profile.describe(obs, rows), "mean", "std")
+    return _rounded(stats, "min", "q25", "q50", "q75", "max", digits=6)
 
 
 ROUNDS_SQL = v.CLEAN_SQL + """,
