@@ -66,6 +66,19 @@ def m5(spark, sf):
                                  "feature string, coef double").select("feature", r6("coef"))
 
 
+@query("m5_lasso_single_feature", f"""WITH {v.SCALED_SQL},
+t AS (SELECT avg(y) AS m, stddev_pop(y) AS s FROM known),
+c AS (SELECT feature, avg(value * (y - m) / s) AS c, avg(value * value) AS q FROM z, t GROUP BY feature)
+SELECT feature, round(sign(c) * greatest(abs(c) - 0.005, 0) / q, 6) + 0 AS coef FROM c""")
+def m5_single(spark, sf):
+    parts, names = _folded_grams(spark, sf)
+    every = gram.total(parts)
+    rows = [(n, float(linear.lasso(every.keep([i]), 0.005)["coefs"][0]))
+            for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "feature string, coef double").select(
+        "feature", (F.round("coef", 6) + 0.0).alias("coef"))
+
+
 @query("m6_lasso_cv")
 def m6(spark, sf):
     parts, names = _folded_grams(spark, sf)
