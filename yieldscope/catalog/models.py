@@ -307,6 +307,29 @@ def m21(spark, sf):
     return logistic.accuracy(df).select(r6("accuracy"))
 
 
+@query("m30_class_metrics", f"""WITH {v.CLEAN_SQL},
+c AS (SELECT CAST(floor(y / 40) AS INTEGER) AS label, CAST(floor(quantity / 40) AS INTEGER) AS prediction FROM known),
+a AS (SELECT label, count(*) AS support, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS hits FROM c GROUP BY label),
+b AS (SELECT prediction AS label, count(*) AS claimed FROM c GROUP BY prediction),
+m AS (SELECT label, support, coalesce(hits / claimed, 0) AS p, hits / support AS r FROM a LEFT JOIN b USING (label))
+SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""")
+def m30_metrics(spark, sf):
+    df = v.cleaned(spark, sf).obs.df.select(
+        F.floor(F.col("y") / 40).cast("int").alias("label"),
+        F.floor(F.col("features")[0] / 40).cast("int").alias("prediction"))
+    return logistic.class_metrics(df).select("label", "support", r6("precision"), r6("recall"),
+                                             r6("f1"))
+
+
+@query("m30_component_clusters")
+def m30_clusters(spark, sf):
+    scores, _ = components.pca_scores(embedded(spark, sf))
+    p = scores.select(F.col("id").alias("row_id"), F.array("pc1", "pc2").alias("x")).persist()
+    fit = cluster.kmeans(p, 3, starts=3)
+    return cluster.assign(p, fit.centers).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m22_step_forward_logistic")
 def m22(spark, sf):
     history = logistic.step_forward_logistic(classed(spark, sf), "fold", CLASSES, tol=1e-3)
