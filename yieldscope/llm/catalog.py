@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate
+from yieldscope.llm import decontaminate, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,13 @@ def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                         F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                         (F.size("runs") > 0).alias("contaminated"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled rows that are not held out."""
+    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(documents, labels.where(~held_out))
+    scored = toxicity.score(documents, [F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")], model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
