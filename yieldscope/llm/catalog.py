@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, toxicity
+from yieldscope.llm import decontaminate, ring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,23 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(documents, labels.where(~held_out))
     scored = toxicity.score(documents, [F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")], model)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_ring_shards")
+def op9_ring_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents on 16 shards of equal row counts."""
+    return (ring.shard(table(spark, sf, "documents"), shards=16)
+            .withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")))
+
+
+@query("op2_bit_sliced_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op2_bit_sliced_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best rows of every hundredth vector."""
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
