@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, ring, topk, toxicity
+from yieldscope.llm import decontaminate, ring, token_file, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,18 @@ def op2_bit_sliced_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best rows of every hundredth vector."""
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_blocks")
+def op6_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents' ids written in blocks and read back."""
+    path = token_file.scratch_file(spark)
+    token_file.write(table(spark, sf, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_file.read(spark, path, digest=True)
