@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, ring, token_file, topk, toxicity
+from yieldscope.llm import decontaminate, pieces, ring, token_file, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,9 @@ def op6_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
     path = token_file.scratch_file(spark)
     token_file.write(table(spark, sf, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
     return token_file.read(spark, path, digest=True)
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every document, as a number and a checksum, and whether decoding gives the text again."""
+    return pieces.encode(table(spark, sf, "documents"), [F.col("doc_id")], vocabulary("piece_bpe_32k.model"), digest=True)

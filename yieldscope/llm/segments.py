@@ -6,6 +6,8 @@ after another. Pieces repeat; a bounded table of pieces seen so far holds their
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
@@ -13,14 +15,28 @@ import numpy as np
 from yieldscope.llm import texts
 
 #: Bytes of text worked off at once, and pieces kept at most.
-GROUP, KEPT = 8 << 20, 1_000_000
+GROUP, KEPT = 8 << 20, 500_000
+
+
+def worker_state(key: tuple, make: Callable[[], object]):
+    """What ``make`` builds, kept by the Python worker for all its tasks."""
+    held = sys.modules.setdefault("yieldscope_worker_state", types.ModuleType("yieldscope_worker_state"))
+    if key not in held.__dict__:
+        held.__dict__[key] = make()
+    return held.__dict__[key]
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for one in lists for x in one), np.uint32, int(sizes.sum())), sizes
 
 
 class Coder:
     """``cut(offsets, data)`` gives (starts, ends, hashes) of pieces; ``encode`` turns a list of
-    pieces (bytes) into lists of ids."""
+    pieces (bytes) into all their ids and the number of ids of each."""
 
-    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.cut, self.encode = cut, encode
         self._forget()
 
@@ -29,14 +45,13 @@ class Coder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, keys: list[int], ids: list[list[int]]) -> None:
-        n, add = len(self.slot), sum(map(len, ids))
+    def _learn(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, add = len(self.slot), len(ids)
         while len(self.first) < n + len(keys):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
         while len(self.flat) < self.used + add:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat[self.used:self.used + add] = np.fromiter((x for one in ids for x in one), np.uint32, add)
+        self.flat[self.used:self.used + add] = ids
         self.first[n:n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.size[n:n + len(keys)] = sizes
         self.slot.update(zip(keys, range(n, n + len(keys))))
@@ -63,7 +78,7 @@ class Coder:
             at = where[new]
             pieces = [blob[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
             slots[new] = len(self.slot) + np.arange(len(new))
-            self._learn(keys[new].tolist(), self.encode(pieces))
+            self._learn(keys[new].tolist(), *self.encode(pieces))
         slots = slots[back]
         sizes = self.size[slots]
         total = np.cumsum(sizes)

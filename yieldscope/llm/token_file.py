@@ -26,7 +26,7 @@ from yieldscope.session import scratch_path
 BLOCK = 4096
 #: Share of a block's ids that the packed width fits.
 SHARE = 0.95
-_HEAD = struct.Struct("<IIBI")  # ids, minimum, width, exceptions
+_HEAD = "<IIBI"  # ids, minimum, width, exceptions
 
 
 def pack(ids: np.ndarray, share: float = SHARE) -> bytes:
@@ -37,14 +37,14 @@ def pack(ids: np.ndarray, share: float = SHARE) -> bytes:
     width = int(kth).bit_length()
     odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    return b"".join((_HEAD.pack(len(ids), low, width, len(odd)), np.packbits(bits.ravel(), bitorder="little").tobytes(),
+    return b"".join((struct.pack(_HEAD, len(ids), low, width, len(odd)), np.packbits(bits.ravel(), bitorder="little").tobytes(),
                      odd.astype("<u2").tobytes(), rest[odd].astype("<u4").tobytes()))
 
 
 def unpack(data: bytes, at: int) -> np.ndarray:
     """The ids of the block that begins at ``at``."""
-    count, low, width, exceptions = _HEAD.unpack_from(data, at)
-    at += _HEAD.size
+    count, low, width, exceptions = struct.unpack_from(_HEAD, data, at)
+    at += struct.calcsize(_HEAD)
     size = -(-count * width // 8)
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little")
     out = np.full(count, low, np.uint32)
@@ -114,7 +114,7 @@ class WordTokens:
             starts, ends = starts[order], ends[order]
         return starts, ends, texts.span_hashes(texts.prefix_sums(low, texts.byte_values()), starts, ends)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(pieces)
         odd = []
         tokens = self.model.tokenize
@@ -130,7 +130,7 @@ class WordTokens:
         if odd:
             for (i, _), got in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
                 out[i] = got.ids
-        return out
+        return segments.flat(out)
 
 
 def write(documents: DataFrame, path: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text",
@@ -148,8 +148,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, *, doc_id: str = "do
     def run(batches):
         from pyspark import TaskContext
 
-        words = WordTokens(vocabulary)
-        coder = segments.Coder(words.cut, words.encode)
+        words = segments.worker_state(("words", vocabulary), lambda: WordTokens(vocabulary))
+        coder = segments.worker_state(("words coder", vocabulary), lambda: segments.Coder(words.cut, words.encode))
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             offsets, data = texts.raw(batch.column(1))
