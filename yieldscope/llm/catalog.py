@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, pieces, ring, token_file, topk, toxicity
+from yieldscope.llm import decontaminate, jaccard, pieces, ring, token_file, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +113,23 @@ def op6_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document, as a number and a checksum, and whether decoding gives the text again."""
     return pieces.encode(table(spark, sf, "documents"), [F.col("doc_id")], vocabulary("piece_bpe_32k.model"), digest=True)
+
+
+@query("op5_jaccard_join", r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, w[i:i + least(4, len(w)) - 1] AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN reach ON x = w.doc_id GROUP BY ALL""")
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose four-word shingles overlap by 85 %."""
+    return jaccard.near_duplicates(table(spark, sf, "documents"), size=4, percent=85)
