@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, jaccard, pieces, ring, token_file, topk, toxicity
+from yieldscope.llm import decontaminate, jaccard, pieces, ring, suffixes, token_file, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,25 @@ FROM w LEFT JOIN sizes USING (doc_id) JOIN reach ON x = w.doc_id GROUP BY ALL"""
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents whose four-word shingles overlap by 85 %."""
     return jaccard.near_duplicates(table(spark, sf, "documents"), size=4, percent=85)
+
+
+@query("op3_suffix_repeats", """
+WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM b WHERE n >= 400)),
+hits AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, i > 400 + coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS fresh FROM hits),
+runs AS (
+    SELECT doc_id, min(i) AS a, max(i) + 400 AS e
+    FROM (SELECT doc_id, i, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS left_over, sum(e - a) AS gone, count(*) - 1 AS spans
+    FROM (SELECT r.doc_id, h, a, e, coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS f
+          FROM (FROM runs UNION ALL SELECT doc_id, n, n FROM b) r JOIN b USING (doc_id)) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, gone::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(left_over)) AS kept_sha256
+FROM b JOIN kept USING (doc_id)""")
+def op3_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the strings of 400 bytes that also start elsewhere."""
+    found = suffixes.remove_repeats(table(spark, sf, "documents"), length=400)
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x.end - x.first)
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.col("kept").alias("kept_sha256"))
