@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, jaccard, pieces, ring, suffixes, token_file, topk, toxicity
+from yieldscope.llm import decontaminate, jaccard, pieces, privacy, ring, suffixes, token_file, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,72 @@ def op3_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x.end - x.first)
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                         F.col("kept").alias("kept_sha256"))
+
+
+def _spans_sql(kind: str, pattern: str, good: str) -> str:
+    """Checked spans of a kind: the gaps and the matches of a text, laid end to end."""
+    return f"""
+    SELECT r, doc_id, '{kind}' AS kind, s AS start, s + length(hit) AS fin, lower(hit) AS value FROM (
+        SELECT *, (length(gap) + coalesce(sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s
+        FROM (SELECT r, doc_id, unnest(range(len(m))) AS i, unnest(m) AS hit, unnest(g[:len(m)]) AS gap
+              FROM (SELECT r, doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d)))
+    WHERE {good}"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = (f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS}), i + 1, 1)::INT "
+         f"ELSE (2 * substr(reverse({_DIGITS}), i + 1, 1)::INT) % 10 + (2 * substr(reverse({_DIGITS}), i + 1, 1)::INT) // 10 END)) % 10 = 0")
+_OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED (
+    {_spans_sql("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", "true")} UNION ALL
+    {_spans_sql("ip", "[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)",
+                "len(list_filter(string_split(hit, '.'), lambda x: x::HUGEINT > 255)) = 0")} UNION ALL
+    {_spans_sql("card", "[0-9]([ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")} UNION ALL
+    {_spans_sql("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")}),
+m AS (
+    SELECT b.r, kind || ':' || value AS entity, greatest(start - 120, 0) AS f, least(fin + 120, length(text)) AS t, length(text) AS n,
+           substr(text, greatest(start - 120, 0) + 1, least(fin + 120, length(text)) - greatest(start - 120, 0)) AS c
+    FROM base b JOIN d USING (r)),
+cut AS (SELECT *, row_number() OVER () AS k, regexp_extract_all(c, '\p{{L}}[\p{{L}}\p{{N}}''-]{{2,}}') AS w,
+               string_split_regex(c, '\p{{L}}[\p{{L}}\p{{N}}''-]{{2,}}') AS g FROM m),
+placed AS (
+    SELECT *, f + length(gap) + coalesce(sum(length(gap) + length(hit)) OVER (PARTITION BY k ORDER BY i
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+    FROM (SELECT r, k, entity, f, t, n, unnest(range(len(w))) AS i, unnest(w) AS hit, unnest(g[:len(w)]) AS gap FROM cut)),
+words AS MATERIALIZED (
+    SELECT r, entity, s::BIGINT AS start, (s + length(hit))::BIGINT AS fin, lower(hit) AS term FROM placed p
+    WHERE (s > f OR f = 0) AND (s + length(hit) < t OR t = n)
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.start < p.s + length(p.hit) AND p.s < b.fin)),
+joint AS (SELECT entity, term, count(DISTINCT r) AS n_et FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+ent AS (SELECT kind || ':' || value AS entity, count(DISTINCT r) AS n_e FROM base GROUP BY ALL),
+df AS (SELECT term, count(*) AS n_t FROM (
+           SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{N}}''-]{{2,}}'))) AS term FROM d) GROUP BY ALL),
+revealing AS (
+    SELECT entity, term FROM joint JOIN ent USING (entity) JOIN df USING (term), (SELECT count(*) AS total FROM d)
+    WHERE n_e < total AND log2(total * n_et / (n_t * n_e)) / log2(total / n_e) >= 0.75),
+spans AS (
+    SELECT r, kind, start, fin FROM base UNION ALL
+    SELECT DISTINCT r, 'term', start, fin FROM words JOIN revealing USING (entity, term)),
+listed AS (
+    SELECT r, coalesce(string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY kinds.o, start) FILTER (kind <> 'term'), '') AS b,
+           string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY kinds.o, start) AS a
+    FROM spans JOIN (VALUES ('email', 1), ('ip', 2), ('card', 3), ('phone', 4), ('term', 5)) kinds(kind, o) USING (kind) GROUP BY r),
+counts AS (SELECT r, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c,
+                  count(*) FILTER (kind = 'phone') AS p FROM base GROUP BY r)
+SELECT doc_id, coalesce(e, 0)::BIGINT AS n_email, coalesce(i, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card,
+       coalesce(p, 0)::BIGINT AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM d LEFT JOIN counts USING (r) LEFT JOIN listed USING (r)"""
+
+
+@query("op1_private_terms", _OP1)
+def op1_private_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document, and the terms near it that disclose it."""
+    found = privacy.disclosures(table(spark, sf, "documents"), keep_text=False)
+    terms = F.transform("terms", lambda t: F.struct(
+        F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("value")))
+    count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in privacy.KINDS],
+                        F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
+                        privacy.listed(F.concat("base", terms)).alias("spans"))
