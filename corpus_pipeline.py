@@ -1,13 +1,75 @@
-"""A training-data pipeline over ``documents``: filtered, deduplicated, cleaned and encoded."""
+"""A training-data pipeline over ``documents``: filtered, deduplicated, cleaned and encoded.
+
+Each stage takes what the one before has written and returns the columns of documents,
+the last one ids. Every stage works on all rows it is given, whatever their ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from yieldscope.llm import decontaminate, jaccard, pieces, secret_scan, texts, toxicity
+from yieldscope.llm.catalog import table, vocabulary
+from yieldscope.session import scratch_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from the labels of those given."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, [texts.whole_row(docs), F.col("text")], model)
+    return scored.where("score < 0.5").select("row__.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 80 %) the document with the smallest id.
+
+    Repeated ids in a group keep one row; rows without shingles are no copies of each other.
+    """
+    found = jaccard.near_duplicates(docs, size=5, percent=80)
+    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), [texts.whole_row(docs), F.col("text")])
+    return found.where(F.size("runs") == 0).select("row__.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced and n_chars counted anew where they were."""
+    dictionary = vocabulary("word_bpe_49k.json")
+    found = secret_scan.scan(docs, [texts.whole_row(docs)], *secret_scan.fitted(docs, dictionary), dictionary)
+    hit = F.size("secrets") > 0
+    changed = {"text": F.when(hit, F.col("clean")).otherwise(F.col("row__.text")),
+               "n_chars": F.when(hit, F.length("clean").cast("bigint")).otherwise(F.col("row__.n_chars"))}
+    return found.select(*[changed.get(c, F.col(f"row__.`{c}`")).alias(c) for c in docs.columns])
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and SentencePiece ids, ready to be packed."""
+    encoded = pieces.encode(docs, [F.col("doc_id")], vocabulary("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("SentencePiece encoding", encode_pieces),
+]
+#: No SQL can tell what a trained classifier rejects; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each reading what the one before it has written."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_path(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{path}/{i}")
+            docs = spark.read.parquet(f"{path}/{i}")
+    return docs

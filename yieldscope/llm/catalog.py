@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, jaccard, pieces, privacy, ring, suffixes, token_file, topk, toxicity
+from yieldscope.llm import decontaminate, jaccard, pieces, privacy, ring, secret_scan, suffixes, token_file, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,7 +171,7 @@ def _spans_sql(kind: str, pattern: str, good: str) -> str:
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
 _LUHN = (f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS}), i + 1, 1)::INT "
          f"ELSE (2 * substr(reverse({_DIGITS}), i + 1, 1)::INT) % 10 + (2 * substr(reverse({_DIGITS}), i + 1, 1)::INT) // 10 END)) % 10 = 0")
-_OP1 = f"""
+_OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 base AS MATERIALIZED (
     {_spans_sql("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", "true")} UNION ALL
@@ -224,3 +224,13 @@ def op1_private_terms(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in privacy.KINDS],
                         F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
                         privacy.listed(F.concat("base", terms)).alias("spans"))
+
+
+@query("op4_secret_forest")
+def op4_secret_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document: how many of the candidates, where, and the cleaned text's checksum."""
+    documents, dictionary = table(spark, sf, "documents"), vocabulary("word_bpe_49k.json")
+    found = secret_scan.scan(documents, [F.col("doc_id")], *secret_scan.fitted(documents, dictionary), dictionary)
+    spans = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"),
+                        F.concat_ws(",", spans).alias("spans"), F.crc32("clean").alias("clean_crc32"))

@@ -74,31 +74,12 @@ class Windows:
         self.shingles = None
 
 
-class Lookup:
-    """Places of sorted 64-bit keys: a bitmap turns most misses away."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift = np.uint64(64 - 20)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(keys >> self.shift).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in hashes, places in keys) of all that are found."""
-        at = np.flatnonzero(self.maybe[(hashes >> self.shift).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        hit = self.keys[place] == hashes[at]
-        return at[hit], place[hit]
-
-
 def _shingle_counts(documents: DataFrame, text: Column, windows: Windows) -> np.ndarray:
     """How often each shingle of the benchmark block occurs in all documents."""
     known, sizes = windows.known, windows.sizes
 
     def run(batches):
-        lookup, total = Lookup(known), np.zeros(len(known), np.int64)
+        lookup, total = texts.Lookup(known), np.zeros(len(known), np.int64)
         for batch in batches:
             for _, offsets, data in texts.chunks(*texts.raw(batch.column(0))):
                 words = _words(data, offsets)
@@ -120,7 +101,7 @@ def _hits(documents: DataFrame, keep: list[Column], text: Column, windows: Windo
     """n_words; hit runs of words (first, end) and names of the items found, for each row."""
 
     def make():
-        lookup = Lookup(windows.probe)
+        lookup = texts.Lookup(windows.probe)
 
         def chunk(offsets, data):
             words = _words(data, offsets)

@@ -17,6 +17,8 @@ The join works on distinct sets, so exact copies are one from the start.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,8 +129,6 @@ class Lists:
             found = list(zip(places[enough].tolist(), times[enough].tolist()))
         if not long:
             return found
-        from bisect import bisect_left
-
         out = []
         for place, n in found:
             for i, held in enumerate(long):
@@ -290,9 +290,7 @@ def _prefixes(source: DataFrame, size: int, percent: int, frequent: tuple[np.nda
     common, times = frequent
 
     def run(batches):
-        from yieldscope.llm.decontaminate import Lookup
-
-        lookup, seen = Lookup(common), set()
+        lookup, seen = texts.Lookup(common), set()
         for batch in batches:
             offsets, data = texts.raw(batch.column(0))
             for _, o, d in texts.chunks(offsets, data):
