@@ -4,9 +4,11 @@ The join works on distinct sets, so exact copies are one from the start.
 
 1. Shingles are ordered by how many documents hold them (frequent ones last), and the
    prefix of a set is so long that two linked sets share a prefix shingle.
-2. The inverted list of each prefix shingle is led by its smallest set, and every set of
-   the list joins the leader's group. Lists of one group of copies have the same few
-   leaders, so a set is sent to a few groups only, and two linked sets meet in one.
+2. The inverted list of each prefix shingle is led by its smallest set (by name), and
+   every set of the list joins the leader's group. Lists of one group of copies have the
+   same few leaders, so a set is sent to a few groups only, and two linked sets meet in
+   one. Leaders of frequent shingles are found by counting alone, so no long list is ever
+   brought together.
 3. A group is worked off by T-occurrence search (``search``), large groups in parts that
    each hold the leader. Sets linked with the leader are in one component already, and
    need no comparison with each other. Sets that are not (``outsiders``) meet the other
@@ -29,6 +31,8 @@ from yieldscope.session import scratch_path
 
 #: Sets, and shingles in them, that one part of a group holds on average.
 PART_SETS, PART_SHINGLES = 200, 400_000
+#: Sets of a part that are compared directly.
+FEW = 6
 #: Frequent shingles that are told to all tasks, the most frequent first. More or fewer change
 #: how fast the join is, never what it finds.
 FREQUENT = 1 << 18
@@ -153,7 +157,21 @@ def search(sets: list[np.ndarray], percent: int) -> tuple[Links, list[float]]:
     twice the distance. Linked heads join it; of a head beyond that, those of its sets
     are compared that the triangle inequality leaves.
     """
-    links, lists, far = Links(len(sets)), Lists(), max(1, 2 * percent - 100)
+    links, lists, far = Links(len(sets)), Lists(), 2 * percent - 100
+    if len(sets) <= FEW:
+        share = [1.0]
+        for i, a in enumerate(sets):
+            for j in range(i):
+                small, large = sorted((len(a), len(sets[j])))
+                if 100 * small >= (percent if j else far) * large and (not j or links.root(i) != links.root(j)):
+                    n = len(np.intersect1d(a, sets[j], assume_unique=True))
+                    if linked(n, small, large, percent):
+                        links.join(i, j)
+                    if not j:
+                        share.append(n / (small + large - n))
+                elif not j:
+                    share.append(0.0)
+        return links, share
     kept: dict[int, list[tuple[int, float]]] = {}
     first = []
     for y, shingles in enumerate(sets):
@@ -245,57 +263,98 @@ def _grouped(rows: DataFrame, keys: int, size: int, answer, schema: str) -> Data
 
 
 def _described(source: DataFrame, size: int) -> DataFrame:
-    """doc_id, number of shingles and name of the set of every document."""
-
-    def make():
-        def work(offsets, data):
-            flat, bounds = sets_of(offsets, data, size)
-            return [np.diff(bounds), set_ids(flat, bounds)]
-
-        return work
-
-    return texts.map_texts(source, [F.col("doc_id"), F.xxhash64("text").alias("mark")], F.col("text"), make,
-                           "n bigint, sid bigint")
-
-
-def _frequent(source: DataFrame, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles in many documents, and in how many their tasks have seen them."""
+    """Of every document doc_id, mark of the text, number of shingles and name of the set; and
+    rows (null, shingle, times, null) of the shingles a task has seen in several documents."""
+    rows = source.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, n bigint, sid bigint"
+    names = ["doc_id", "mark", "n", "sid"]
 
     def run(batches):
-        def report(parts):
+        def report(parts, kind):
             values, times = np.unique(np.concatenate(parts), return_counts=True)
             some = times >= SEEN
-            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(times[some])], names=["s", "n"])
+            none = pa.nulls(int(some.sum()), kind)
+            return pa.RecordBatch.from_arrays([none, pa.array(values[some].view(np.int64)), pa.array(times[some]),
+                                               pa.nulls(len(none), pa.int64())], names=names)
 
-        parts, held = [], 0
+        parts, held, kind = [], 0, None
         for batch in batches:
-            flat, _ = sets_of(*texts.raw(batch.column(0)), size)
+            flat, bounds = sets_of(*texts.raw(batch.column(2)), size)
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)),
+                                              pa.array(set_ids(flat, bounds))], names=names)
             parts.append(flat)
             held += len(flat)
             if held > 4_000_000:
-                yield report(parts)
+                yield report(parts, kind)
                 parts, held = [], 0
         if parts:
-            yield report(parts)
+            yield report(parts, kind)
+
+    return rows.mapInArrow(run, schema)
+
 
-    rows = (source.select(F.coalesce("text", F.lit(""))).mapInArrow(run, "s bigint, n bigint").groupBy("s")
-            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).collect())
+def _frequent(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles in many documents, and in how many their tasks have seen them."""
+    rows = (described.where("sid is null").groupBy("mark").agg(F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), "mark").limit(most).collect())
     values = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def _prefixes(source: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, sid) of the prefix of every set; copies within a task once."""
-    common, times = frequent
+def _prefix_of(offsets, data, size: int, percent: int, common: texts.Lookup, times: np.ndarray):
+    """(shingle, place among the frequent or -1, text) of the prefixes, and names and sizes of the sets."""
+    flat, bounds = sets_of(offsets, data, size)
+    sids, sizes = set_ids(flat, bounds), np.diff(bounds)
+    text = np.repeat(np.arange(len(sids)), sizes)
+    known = np.full(len(flat), -1, np.int64)
+    at, place = common.find(flat)
+    known[at] = place
+    if len(at):
+        order = np.lexsort((flat, np.where(known >= 0, times[known], 0), text))
+        flat, known = flat[order], known[order]
+    length = sizes - needed(sizes, percent) + 1
+    take = np.arange(len(flat)) - np.repeat(bounds[:-1], sizes) < length[text]
+    return flat[take], known[take], text[take], sids, sizes
+
+
+def _frequent_leaders(source: DataFrame, size: int, percent: int, frequent) -> np.ndarray:
+    """The smallest set of the list of each frequent shingle."""
+    values, times = frequent
 
     def run(batches):
-        lookup, seen = texts.Lookup(common), set()
+        common, least = texts.Lookup(values), np.full(len(values), np.iinfo(np.int64).max)
         for batch in batches:
-            offsets, data = texts.raw(batch.column(0))
-            for _, o, d in texts.chunks(offsets, data):
-                flat, bounds = sets_of(o, d, size)
-                sids, sizes = set_ids(flat, bounds), np.diff(bounds)
+            for _, o, d in texts.chunks(*texts.raw(batch.column(0))):
+                _, known, text, sids, _ = _prefix_of(o, d, size, percent, common, times)
+                some = known >= 0
+                np.minimum.at(least, known[some], sids[text[some]])
+        seen = np.flatnonzero(least < np.iinfo(np.int64).max)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(least[seen])], names=["k", "sid"])
+
+    out = np.zeros(len(values), np.int64)
+    if len(values):
+        rows = source.select(F.coalesce("text", F.lit(""))).mapInArrow(run, "k bigint, sid bigint")
+        for k, sid in rows.groupBy("k").agg(F.min("sid")).collect():
+            out[k] = sid
+    return out
+
+
+def _members(source: DataFrame, size: int, percent: int, frequent, leaders: np.ndarray) -> DataFrame:
+    """(leader, sid): the groups that each set joins.
+
+    Lists of frequent shingles, whose leaders are known, are never brought together. The
+    others are, ordered by the sizes of their sets and cut where neighbours differ too much
+    in size to be linked; each run of more than one set has its own leader.
+    """
+    values, times = frequent
+
+    def emit(batches):
+        common, seen = texts.Lookup(values), set()
+        for batch in batches:
+            for _, o, d in texts.chunks(*texts.raw(batch.column(0))):
+                shingle, known, text, sids, sizes = _prefix_of(o, d, size, percent, common, times)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 fresh = np.zeros(len(sids), bool)
@@ -303,19 +362,45 @@ def _prefixes(source: DataFrame, size: int, percent: int, frequent: tuple[np.nda
                     if sizes[i] and s not in seen:
                         seen.add(s)
                         fresh[i] = True
-                text = np.repeat(np.arange(len(sids)), sizes)
-                weight = np.zeros(len(flat), np.int64)
-                at, place = lookup.find(flat)
-                weight[at] = times[place]
-                if len(at):
-                    flat = flat[np.lexsort((flat, weight, text))]
-                rank = np.arange(len(flat)) - np.repeat(bounds[:-1], sizes)
-                length = sizes - needed(sizes, percent) + 1
-                take = (rank < length[text]) & fresh[text]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[take].view(np.int64)), pa.array(sids[text[take]])],
-                                                 names=["shingle", "sid"])
+                led = (known >= 0) & fresh[text]
+                pairs = np.unique(np.stack([text[led], leaders[known[led]]]), axis=1)
+                rest = (known < 0) & fresh[text]
+                names = np.append(shingle[rest], texts.mix(pairs[1].view(np.uint64) ^ sids[pairs[0]].view(np.uint64)))
+                who = np.append(text[rest], pairs[0])
+                led = pa.concat_arrays([pa.nulls(int(rest.sum()), pa.int64()), pa.array(pairs[1])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names.view(np.int64)), pa.array(sizes[who].astype(np.int32)), pa.array(sids[who]), led],
+                    names=["shingle", "n", "sid", "leader"])
+
+    def lead(batches):
+        kept = [np.zeros(0, np.int64)] * 3
+
+        def runs(shingle, n, sid):
+            if not len(sid):
+                return sid, sid
+            cut = np.flatnonzero((shingle[1:] != shingle[:-1]) | (100 * n[:-1] < percent * n[1:])) + 1
+            starts = np.append(0, cut)
+            many = np.diff(np.append(starts, len(sid)))
+            first = np.repeat(np.minimum.reduceat(sid, starts), many)
+            some = np.repeat(many, many) > 1
+            return first[some], sid[some]
 
-    return source.select(F.coalesce("text", F.lit(""))).mapInArrow(run, "shingle bigint, sid bigint")
+        for batch in batches:
+            led = batch.column(3)
+            direct = led.is_valid().to_numpy(zero_copy_only=False)
+            shingle, n, sid = (np.append(k, c.to_numpy()[~direct]) for k, c in zip(kept, batch.columns[:3]))
+            done = np.searchsorted(shingle, shingle[-1]) if len(shingle) else 0
+            a, b = runs(shingle[:done], n[:done], sid[:done])
+            kept = [shingle[done:], n[done:], sid[done:]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(a, led.filter(led.is_valid()).to_numpy())),
+                 pa.array(np.append(b, batch.column(2).to_numpy()[direct]))], names=["leader", "sid"])
+        a, b = runs(*kept)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["leader", "sid"])
+
+    entries = source.select(F.coalesce("text", F.lit(""))).mapInArrow(emit, "shingle bigint, n int, sid bigint, leader bigint")
+    return (entries.repartition("shingle").sortWithinPartitions("shingle", "n")
+            .mapInArrow(lead, "leader bigint, sid bigint").distinct())
 
 
 def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, doc_id: str = "doc_id",
@@ -334,15 +419,16 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, d
     path = scratch_path(spark, "jaccard")
     source = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     _described(source, size).write.parquet(f"{path}/described")
-    described = spark.read.parquet(f"{path}/described")
+    written = spark.read.parquet(f"{path}/described")
+    described = written.where("sid is not null")
 
-    entries = _prefixes(source, size, percent, _frequent(source, size, FREQUENT))
-    leaders = (entries.groupBy("shingle").agg(F.min("sid").alias("leader"), F.max("sid").alias("most"))
-               .where("leader < most").select("shingle", "leader"))
-    members = entries.join(leaders, "shingle").select("leader", "sid").distinct()
+    frequent = _frequent(written, FREQUENT)
+    members = _members(source, size, percent, frequent, _frequent_leaders(source, size, percent, frequent))
     one = described.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.isnull("doc_id").alias("x"), "doc_id", "mark")).alias("one"),
                                                       F.first("n").alias("n"))
-    members.join(one.select("sid", "n"), "sid").write.parquet(f"{path}/members")
+    # a frequent shingle that one set alone holds leads nothing
+    several = members.groupBy("leader").agg(F.count("*").alias("c")).where("c > 1").select("leader")
+    members.join(several, "leader").join(one.select("sid", "n"), "sid").write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
 
     wanted = one.join(members.select("sid").distinct(), "sid").select(

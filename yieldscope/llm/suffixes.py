@@ -436,8 +436,10 @@ def remove_repeats(documents: DataFrame, *, length: int = 400, doc_id: str = "do
 
     rows = _anchor_rows(source, length, gram)
     several = lambda c: F.min(c) < F.max(c)
-    known = rows.groupBy("anchor").agg(several("tid").alias("x"), several("place").alias("y")).where("x or y").select("anchor")
-    per_text = (rows.join(known, "anchor").select("tid", F.struct("anchor", "place", "low", "high").alias("run"))
+    # the exclusive or keeps the counted side an exchange of its own, so that a hot anchor can be split
+    known = (rows.groupBy("anchor").agg(several("tid").alias("x"), several("place").alias("y")).where("x or y")
+             .select(F.expr("anchor ^ 1L").alias("other")))
+    per_text = (rows.join(known, F.col("anchor") == F.expr("other ^ 1L")).select("tid", F.struct("anchor", "place", "low", "high").alias("run"))
                 .groupBy("tid").agg(F.array_sort(F.collect_set("run")).alias("runs")))
     per_text.write.parquet(f"{path}/runs")
     runs = spark.read.parquet(f"{path}/runs")
