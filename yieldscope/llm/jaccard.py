@@ -9,7 +9,8 @@ The join works on distinct sets, so exact copies are one from the start.
    same few leaders, so a set is sent to a few groups only, and two linked sets meet in
    one. Leaders of frequent shingles are found by counting alone, so no long list is ever
    brought together.
-3. A group is worked off by T-occurrence search (``search``), large groups in parts that
+3. Sets that no other set of their group can be linked with, by bitmaps of their
+   shingles, leave it. What is left of a group is worked off by T-occurrence search (``search``), large groups in parts that
    each hold the leader. Sets linked with the leader are in one component already, and
    need no comparison with each other. Sets that are not (``outsiders``) meet the other
    parts in blocks. By the triangle inequality of the Jaccard distance an outsider can be
@@ -31,6 +32,8 @@ from yieldscope.session import scratch_path
 
 #: Sets, and shingles in them, that one part of a group holds on average.
 PART_SETS, PART_SHINGLES = 200, 400_000
+#: Bits of the bitmap that stands for a set while groups are pruned.
+BITS = 2048
 #: Sets of a part that are compared directly.
 FEW = 6
 #: Frequent shingles that are told to all tasks, the most frequent first. More or fewer change
@@ -67,6 +70,55 @@ def set_ids(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return texts.mix(total[bounds[1:]] - total[bounds[:-1]] + sizes * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def bitmaps(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A bitmap of ``BITS`` bits of each set, one hashed bit for each shingle."""
+    rows = np.zeros((len(bounds) - 1, BITS // 8), np.uint8)
+    text, bit = np.repeat(np.arange(len(rows)), np.diff(bounds)), (flat >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    np.bitwise_or.at(rows, (text, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def may_link(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a group may be linked with another of it.
+
+    A bit of one set that another lacks stands for at least one shingle that it lacks,
+    which bounds the overlap from above. Nothing that is linked is left out.
+    """
+    own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        both = np.bitwise_count(bits[i + 1:] & bits[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(sizes[i] - own[i] + both, sizes[i + 1:] - own[i + 1:] + both)
+        ok = 100 * most >= percent * (sizes[i] + sizes[i + 1:] - most)
+        out[i] |= ok.any()
+        out[i + 1:] |= ok
+    return out
+
+
+def _pruned(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (leader, sid, n, bits) of small groups without the sets that nothing there can be linked with."""
+
+    def run(batches):
+        def work(leader, sid, n, bits):
+            if not len(leader):
+                return leader, sid, n
+            cut = np.append(0, np.flatnonzero(leader[1:] != leader[:-1]) + 1)
+            keep = np.concatenate([may_link(n[a:b], bits[a:b], percent) for a, b in zip(cut, np.append(cut[1:], len(leader)))])
+            return leader[keep], sid[keep], n[keep]
+
+        kept = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, BITS // 64), np.uint64)]
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            columns = [np.concatenate([k, c]) for k, c in zip(kept, [*(batch.column(i).to_numpy() for i in range(3)), bits])]
+            done = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0
+            kept = [c[done:] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(*(c[:done] for c in columns))], names=["leader", "sid", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(*kept)], names=["leader", "sid", "n"])
+
+    return (rows.select("leader", "sid", "n", "bits").repartition("leader").sortWithinPartitions("leader")
+            .mapInArrow(run, "leader bigint, sid bigint, n bigint"))
+
+
 def needed(size, percent: int):
     """The overlap that a set of this size needs with any set it is linked with."""
     return -(-percent * size // 100)
@@ -266,8 +318,8 @@ def _described(source: DataFrame, size: int) -> DataFrame:
     """Of every document doc_id, mark of the text, number of shingles and name of the set; and
     rows (null, shingle, times, null) of the shingles a task has seen in several documents."""
     rows = source.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, n bigint, sid bigint"
-    names = ["doc_id", "mark", "n", "sid"]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, n bigint, sid bigint, bits binary"
+    names = ["doc_id", "mark", "n", "sid", "bits"]
 
     def run(batches):
         def report(parts, kind):
@@ -275,14 +327,14 @@ def _described(source: DataFrame, size: int) -> DataFrame:
             some = times >= SEEN
             none = pa.nulls(int(some.sum()), kind)
             return pa.RecordBatch.from_arrays([none, pa.array(values[some].view(np.int64)), pa.array(times[some]),
-                                               pa.nulls(len(none), pa.int64())], names=names)
+                                               pa.nulls(len(none), pa.int64()), pa.nulls(len(none), pa.binary())], names=names)
 
         parts, held, kind = [], 0, None
         for batch in batches:
             flat, bounds = sets_of(*texts.raw(batch.column(2)), size)
             kind = batch.column(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)),
-                                              pa.array(set_ids(flat, bounds))], names=names)
+                                              pa.array(set_ids(flat, bounds)), bitmaps(flat, bounds)], names=names)
             parts.append(flat)
             held += len(flat)
             if held > 4_000_000:
@@ -425,10 +477,13 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, d
     frequent = _frequent(written, FREQUENT)
     members = _members(source, size, percent, frequent, _frequent_leaders(source, size, percent, frequent))
     one = described.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.isnull("doc_id").alias("x"), "doc_id", "mark")).alias("one"),
-                                                      F.first("n").alias("n"))
+                                                      F.first("n").alias("n"), F.first("bits").alias("bits"))
     # a frequent shingle that one set alone holds leads nothing
-    several = members.groupBy("leader").agg(F.count("*").alias("c")).where("c > 1").select("leader")
-    members.join(several, "leader").join(one.select("sid", "n"), "sid").write.parquet(f"{path}/members")
+    several = members.groupBy("leader").agg(F.count("*").alias("c")).where("c > 1")
+    members.join(several, "leader").join(one.select("sid", "n", "bits"), "sid").write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    pruned = _pruned(groups.where(F.col("c") <= part_sets), percent)
+    pruned.unionByName(groups.where(F.col("c") > part_sets).select("leader", "sid", "n")).write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
 
     wanted = one.join(members.select("sid").distinct(), "sid").select(
@@ -438,12 +493,13 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, d
     held.dropDuplicates(["sid"]).write.parquet(f"{path}/texts")
     held = spark.read.parquet(f"{path}/texts")
 
-    parts = members.groupBy("leader").agg(F.count("*").alias("c"), F.sum("n").alias("w")).select(
-        "leader", F.greatest(F.ceil(F.col("c") / part_sets), F.ceil(F.col("w") / PART_SHINGLES)).alias("parts"))
+    # a leader that has been pruned is followed by the smallest set that is left
+    parts = members.groupBy("leader").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("sid").alias("head")).select(
+        "leader", "head", F.greatest(F.ceil(F.col("c") / part_sets), F.ceil(F.col("w") / PART_SHINGLES)).alias("parts"))
     dealt = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
     # the leader stands first in every part of its group
-    rows = dealt.where("sid <> leader").select("leader", "part", F.lit(1).alias("order"), "sid", "parts")
-    heads = dealt.where("sid = leader").select(
+    rows = dealt.where("sid <> head").select("leader", "part", F.lit(1).alias("order"), "sid", "parts")
+    heads = dealt.where("sid = head").select(
         "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("order"), "sid", "parts")
     full = rows.unionByName(heads).join(held, "sid").select("leader", "part", "order", "sid", "parts", "text")
@@ -457,7 +513,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, d
                 out.append((0, key[0], key[1], names[root], name))
         if got[0][2] > 1:
             for name, share, s in zip(names, first, sets):
-                if name != key[0] and share * 100 < percent - 1e-9:
+                if name != names[0] and share * 100 < percent - 1e-9:
                     near = share * 100 >= 2 * percent - 100 - 1e-9
                     out.append((1 if near else 2, key[0], key[1], name, name))
         return out
@@ -468,10 +524,10 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, d
     outside = found.where("kind > 0").select("leader", F.col("a").alias("sid"), "kind", "part")
     blocks = outside.groupBy("leader").agg(F.ceil(F.count("*") / part_sets).alias("blocks"), F.min("kind").alias("nearest"))
     outsiders = (outside.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks"))))
-    others = (dealt.join(blocks, "leader").where("sid <> leader")
+    others = (dealt.join(blocks, "leader").where("sid <> head")
               .join(outside.select("leader", "sid", "kind"), ["leader", "sid"], "left")
               .where("kind is not null or nearest = 1"))
-    asked = outsiders.join(parts, "leader").select(
+    asked = outsiders.join(parts.drop("head"), "leader").select(
         "leader", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("side"), "sid")
     offered = others.select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
