@@ -137,7 +137,10 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_suffix_repeats", """
 WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM b WHERE n >= 400)),
+blocks AS (SELECT doc_id, n, z, substr(h, 2000 * z + 1, 2800) AS part
+           FROM (SELECT doc_id, h, n, unnest(range((n - 400) // 1000 + 1)) AS z FROM b WHERE n >= 400)),
+w AS (SELECT doc_id, 1000 * z + j AS i, md5(substr(part, 2 * j + 1, 800)) AS k
+      FROM (SELECT doc_id, z, part, unnest(range(least(1000, n - 399 - 1000 * z))) AS j FROM blocks)),
 hits AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 marked AS (SELECT doc_id, i, i > 400 + coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS fresh FROM hits),
 runs AS (

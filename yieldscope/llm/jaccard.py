@@ -32,8 +32,8 @@ from yieldscope.session import scratch_path
 
 #: Sets, and shingles in them, that one part of a group holds on average.
 PART_SETS, PART_SHINGLES = 200, 400_000
-#: Bits of the bitmap that stands for a set while groups are pruned.
-BITS = 2048
+#: Powers of two of the bits of the bitmap that stands for a set while groups are pruned.
+BITS = (11, 16)
 #: Sets of a part that are compared directly.
 FEW = 6
 #: Frequent shingles that are told to all tasks, the most frequent first. More or fewer change
@@ -71,27 +71,45 @@ def set_ids(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A bitmap of ``BITS`` bits of each set, one hashed bit for each shingle."""
-    rows = np.zeros((len(bounds) - 1, BITS // 8), np.uint8)
-    text, bit = np.repeat(np.arange(len(rows)), np.diff(bounds)), (flat >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    np.bitwise_or.at(rows, (text, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+    """A bitmap of each set, one hashed bit for each shingle; long sets have longer ones."""
+    sizes = np.diff(bounds)
+    log = np.clip(np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), *BITS)
+    starts = np.append(0, np.cumsum(1 << (log - 3)))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (flat >> (64 - log[text]).astype(np.uint64)).astype(np.int64)
+    held = np.zeros(int(starts[-1]), np.uint8)
+    np.bitwise_or.at(held, starts[text] + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(held)]).cast(pa.binary())
 
 
-def may_link(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+def _halved(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of half the length for the same shingles."""
+    pairs = np.unpackbits(bits, bitorder="little").reshape(-1, 2)
+    return np.packbits(pairs[:, 0] | pairs[:, 1], bitorder="little")
+
+
+def may_link(sizes: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
     """Which sets of a group may be linked with another of it.
 
     A bit of one set that another lacks stands for at least one shingle that it lacks,
-    which bounds the overlap from above. Nothing that is linked is left out.
+    which bounds the overlap from above. Nothing that is linked is left out: bitmaps of
+    linked sets have the same length or one is twice as long (the threshold is above
+    50 %), and then it is halved.
     """
-    own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    out = np.zeros(len(sizes), bool)
-    for i in range(len(sizes) - 1):
-        both = np.bitwise_count(bits[i + 1:] & bits[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(sizes[i] - own[i] + both, sizes[i + 1:] - own[i + 1:] + both)
-        ok = 100 * most >= percent * (sizes[i] + sizes[i + 1:] - most)
-        out[i] |= ok.any()
-        out[i + 1:] |= ok
+    length, out = np.array([len(b) for b in bits]), np.zeros(len(sizes), bool)
+    for short in np.unique(length):
+        some = np.flatnonzero((length == short) | (length == 2 * short))
+        own = length[some] == short
+        rows = np.stack([x if o else _halved(x) for x, o in
+                         ((np.frombuffer(bits[i], np.uint8), o) for i, o in zip(some, own))]).view(np.uint64)
+        n, count = sizes[some], np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        for i in range(len(some) - 1):
+            both = np.bitwise_count(rows[i + 1:] & rows[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[i] - count[i] + both, n[i + 1:] - count[i + 1:] + both)
+            ok = (100 * most >= percent * (n[i] + n[i + 1:] - most)) & (own[i] | own[i + 1:])
+            out[some[i]] |= ok.any()
+            out[some[i + 1:]] |= ok
     return out
 
 
@@ -100,20 +118,19 @@ def _pruned(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         def work(leader, sid, n, bits):
-            if not len(leader):
-                return leader, sid, n
-            cut = np.append(0, np.flatnonzero(leader[1:] != leader[:-1]) + 1)
-            keep = np.concatenate([may_link(n[a:b], bits[a:b], percent) for a, b in zip(cut, np.append(cut[1:], len(leader)))])
-            return leader[keep], sid[keep], n[keep]
+            cut = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]))[:len(leader)]
+            keep = np.concatenate([np.zeros(0, bool), *(may_link(n[a:b], bits[a:b], percent)
+                                                        for a, b in zip(cut, np.append(cut[1:], len(leader))))])
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (leader, sid, n)], names=["leader", "sid", "n"])
 
-        kept = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, BITS // 64), np.uint64)]
+        held, bits = [np.zeros(0, np.int64)] * 3, []
         for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            columns = [np.concatenate([k, c]) for k, c in zip(kept, [*(batch.column(i).to_numpy() for i in range(3)), bits])]
-            done = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0
-            kept = [c[done:] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(*(c[:done] for c in columns))], names=["leader", "sid", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(*kept)], names=["leader", "sid", "n"])
+            held = [np.append(k, batch.column(i).to_numpy()) for i, k in enumerate(held)]
+            bits += batch.column(3).to_pylist()
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield work(*(c[:done] for c in held), bits[:done])
+            held, bits = [c[done:] for c in held], bits[done:]
+        yield work(*held, bits)
 
     return (rows.select("leader", "sid", "n", "bits").repartition("leader").sortWithinPartitions("leader")
             .mapInArrow(run, "leader bigint, sid bigint, n bigint"))
@@ -293,7 +310,9 @@ def _grouped(rows: DataFrame, keys: int, size: int, answer, schema: str) -> Data
     """``answer`` for each group of rows with equal first columns; the last column is a text
     that becomes its set of shingles."""
     names = rows.columns
-    dealt = rows.repartition(*names[:keys]).sortWithinPartitions(*names[:-1])
+    # a fixed number of partitions: few bytes can mean much work here, so none are put together
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *names[:keys]).sortWithinPartitions(*names[:-1])
 
     def run(batches):
         def read():
@@ -544,6 +563,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, d
     labels = components.connected(links)
     named = (described.join(labels, described["sid"] == labels["node"], "left")
              .select("doc_id", "n", F.coalesce("label", "sid").alias("key")))
-    lowest = named.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-    out = named.where("n > 0").join(lowest, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
+    # the exclusive or gives the counted side an exchange of its own, so that a hot component can be split
+    lowest = named.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).select(F.expr("key ^ 1L").alias("other"), "low")
+    out = named.where("n > 0").join(lowest, F.col("key") == F.expr("other ^ 1L")).select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
     return out.unionByName(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

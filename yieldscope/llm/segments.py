@@ -6,26 +6,17 @@ after another. Pieces repeat; a bounded table of pieces seen so far holds their
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable
 
 import numpy as np
 
 from yieldscope.llm import texts
+from yieldscope.llm.texts import worker_state  # noqa: F401  (used by those that encode)
 
 #: Bytes of text worked off at once, and pieces kept at most.
 GROUP, KEPT = 8 << 20, 500_000
 
 
-def worker_state(key: tuple, make: Callable[[], object]):
-    """What ``make`` builds, kept by the Python worker for all its tasks."""
-    held = sys.modules.setdefault("yieldscope_worker_state", types.ModuleType("yieldscope_worker_state"))
-    if key not in held.__dict__:
-        held.__dict__[key] = make()
-    return held.__dict__[key]
-
-
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and how many each list has."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -7,6 +7,8 @@ is a multiple of the larger of the two, whatever the size of the table.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +20,14 @@ from pyspark.sql.types import StructType
 CHUNK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]):
+    """What ``make`` builds, kept by the Python worker for all its tasks."""
+    held = sys.modules.setdefault("yieldscope_worker_state", types.ModuleType("yieldscope_worker_state"))
+    if key not in held.__dict__:
+        held.__dict__[key] = make()
+    return held.__dict__[key]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,14 +45,14 @@ def byte_values() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i modulo 2^64 for i < n."""
-    have = _POWERS.get(0)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + 1)
+    """B^i and B^-i modulo 2^64 for i < n (a global of this module would travel with every function)."""
+    held = worker_state(("powers",), lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(held[0]) < n:
+        size = max(n, min(2 * n, CHUNK + 1))
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = _POWERS[0] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return have
+        held[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return held[0], held[1]
 
 
 def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
