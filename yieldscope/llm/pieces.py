@@ -27,7 +27,7 @@ from yieldscope.llm import segments, texts
 
 SPACE = "▁"
 #: Remembered verdicts on pairs of pieces, at most.
-PAIRS = 500_000
+PAIRS = 300_000
 #: Bytes of a piece of text that is encoded side by side with others, and how many are at once.
 SHORT, ABREAST = 48, 50_000
 
@@ -305,7 +305,7 @@ def encode(documents: DataFrame, keep: list[Column], vocabulary: str, *, text: s
     """
 
     def make():
-        codec = segments.worker_state(("codec", vocabulary), lambda: Codec(vocabulary))
+        codec = Codec(vocabulary)
 
         def work(offsets, data):
             ids_all, counts_all, crc, same = [], [], [], []
@@ -349,7 +349,7 @@ def decode(rows: DataFrame, keep: list[Column], vocabulary: str, *, ids: str = "
     schema = StructType([*source.schema.fields[:-1], StructField("text", StringType())])
 
     def run(batches):
-        codec = segments.worker_state(("codec", vocabulary), lambda: Codec(vocabulary))
+        codec = Codec(vocabulary)
         for batch in batches:
             made = []
             for one in batch.column(batch.num_columns - 1):

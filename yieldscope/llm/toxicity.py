@@ -118,7 +118,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         import pandas as pd
 
         pdf = pdf.assign(order=pdf["id__"].astype(str).str[::-1]).sort_values(["order", "y__"])
-        z, n = learn([(np.asarray(p, np.int64), int(y)) for p, y in zip(pdf["places"], pdf["y__"])], settings)
+        z, n = learn(list(zip(pdf.pop("places"), pdf["y__"].astype(int))), settings)
         at = np.flatnonzero(n)
         return pd.DataFrame({"place": at, "z": z[at], "n": n[at]})
 
