@@ -66,3 +66,23 @@ def test_positions_do_not_depend_on_ranges(spark):
     plain = {r["k"]: r["position"] for r in ranks.row_positions(df, "k", 500).collect()}
     cut = {r["k"]: r["position"] for r in ranks.row_positions(df, "k", 500, range_rows=40).collect()}
     assert plain == cut == {k: i for i, k in enumerate(sorted(plain))}
+
+
+def test_a_key_of_several_rows_is_an_error(build):
+    from pyspark.sql import functions as F
+
+    from yieldscope.operators.ranks import rank_spots
+
+    obs = build([[1.0], [2.0], [3.0]], [1.0, 2.0, 3.0])
+    twice = obs.with_df(obs.df.withColumn("row_id", F.least("row_id", F.lit(1))))
+    assert rank_spots(obs, 3).count() == 3
+    with pytest.raises(Exception, match="not unique"):
+        rank_spots(twice, 3).collect()
+
+
+def test_textual_keys_are_hashed(spark):
+    from yieldscope.sources.observations import from_wide
+
+    wide = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "unit string, y double, `s.p` double")
+    keys = [r.row_id for r in from_wide(wide, "y", row_id="unit").df.collect()]
+    assert len(set(keys)) == 2 and None not in keys

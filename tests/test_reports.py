@@ -163,3 +163,25 @@ def test_partitions_can_be_added_and_listed(spark, database):
     results.append(results.forest_rows(row, "20240202-x"), table)
     assert {r[0] for r in results.list_partitions(spark, table).collect()} == {
         "dt=20240101", "dt=20240202"}
+
+
+@pytest.mark.parametrize("n", [10, 12, 20, 30, 40])
+def test_no_row_is_lost_between_folds(build, n):
+    """Every fold counts, whichever sides its rows fell on."""
+    from pyspark.sql import functions as F
+
+    from yieldscope.operators.gram import grams
+    from yieldscope.operators.split import hash_fold, in_test
+    from yieldscope.plans.reports import FOLD_SEED, SPLIT_SEED, fold_tables, split_sides
+
+    draw = np.random.default_rng(n)
+    x = draw.normal(size=(n, 3))
+    obs = build(x, x[:, 0])
+    parts = grams(obs.df, hash_fold(5, FOLD_SEED + 42) * 2 + in_test(0.3, SPLIT_SEED).cast("int"))
+    folds = fold_tables(parts, n, [0, 2])
+    assert sum(g.n for g in folds.values()) == n
+    train, held = split_sides(parts)
+    assert train.n + held.n == n and min(train.n, held.n) > 0
+    one_sided = {p: g for p, g in parts.items() if p % 2 == 0}
+    train, held = split_sides(one_sided)
+    assert train.n + held.n == sum(g.n for g in one_sided.values()) and held.n > 0

@@ -6,12 +6,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from yieldscope.catalog import views as v
-from yieldscope.catalog.preparing import embedded, r6
+from yieldscope.catalog.preparing import DIMS, _database, embedded, r6
 from yieldscope.catalog.registry import query
 from yieldscope.operators import cluster, components, gram, linear, logistic, scale, split, trees
+from yieldscope.operators.profile import quantiles
 from yieldscope.plans import reports
 from yieldscope.plans.prescreen import prescreen
-from yieldscope.sources.observations import Observations
+from yieldscope.session import scratch_path
+from yieldscope.sources import results
+from yieldscope.sources.observations import Observations, load_matrix
 
 FOLDS = 5
 
@@ -36,12 +39,18 @@ def _embedding_target(spark, sf):
 # ---- linear --------------------------------------------------------------------
 
 @query("m1_product_sums", f"""WITH {v.CLEAN_SQL},
-f AS (SELECT row_id, idx, value, CAST(('0x' || substr(md5('0:' || row_id), 1, 8)) AS BIGINT) % 5 AS part FROM lng)
-SELECT a.part, a.idx AS i, b.idx AS j, round(sum(a.value * b.value) / 7000, 2) AS s
-FROM f a JOIN f b ON a.row_id = b.row_id AND a.idx <= b.idx GROUP BY ALL""")
+f AS (SELECT row_id, idx, value, CAST(('0x' || substr(md5('0:' || row_id), 1, 8)) AS BIGINT) % 5 AS part FROM lng),
+s AS (SELECT a.part, a.idx AS i, b.idx AS j, sum(a.value * b.value) AS s
+  FROM f a JOIN f b ON a.row_id = b.row_id AND a.idx <= b.idx GROUP BY ALL)
+SELECT s.part, s.i, s.j, round(s.s / sqrt(p.s * q.s), 6) AS s, round(ln(p.s), 6) AS size
+FROM s JOIN s p ON p.part = s.part AND p.i = s.i AND p.j = s.i JOIN s q ON q.part = s.part AND q.i = s.j AND q.j = s.j""")
 def m1(spark, sf):
     sums = gram.product_sums(v.cleaned(spark, sf).obs.df, F.col("features"), split.hash_fold(FOLDS))
-    return sums.select("part", "i", "j", F.round(F.col("s") / 7000, 2).alias("s"))
+    own = sums.where("i = j").select("part", F.col("i").alias("at"), F.col("s").alias("own"))
+    left, right = own.toDF("part", "i", "p"), own.toDF("part", "j", "q")
+    return sums.join(left, ["part", "i"]).join(right, ["part", "j"]).select(
+        "part", "i", "j", F.round(F.col("s") / F.sqrt(F.col("p") * F.col("q")), 6).alias("s"),
+        F.round(F.log("p"), 6).alias("size"))
 
 
 @query("m4_lasso_grid")
@@ -58,7 +67,20 @@ def m4(spark, sf):
     return table.select("alpha", r6("train_score"), r6("test_score"))
 
 
-@query("m5_lasso")
+@query("m5_lasso", f"""WITH RECURSIVE {v.SCALED_SQL},
+t AS (SELECT avg(y) AS m, stddev_pop(y) AS s FROM known),
+c AS MATERIALIZED (SELECT list(c ORDER BY idx) AS c, list(feature ORDER BY idx) AS names
+  FROM (SELECT idx, feature, avg(value * (y - m) / s) AS c FROM z, t GROUP BY ALL)),
+q AS MATERIALIZED (SELECT list(q ORDER BY i) AS q FROM (
+  SELECT i, list(q ORDER BY j) AS q FROM (
+    SELECT a.idx AS i, b.idx AS j, avg(a.value * b.value) AS q FROM z a JOIN z b USING (row_id) GROUP BY ALL) GROUP BY i)),
+step AS (  -- proximal gradient steps; the trace bounds the largest eigenvalue
+  SELECT 0 AS n, list_transform(c, lambda x: 0.0::DOUBLE) AS b FROM c
+  UNION ALL
+  SELECT n + 1, list_transform(list_transform(range(1, len(c) + 1), lambda j: b[j] + (c[j] - list_dot_product(q[j], b)) / len(c)),
+    lambda u: sign(u) * greatest(abs(u) - 0.05 / len(c), 0)) FROM step, c, q WHERE n < 800)
+SELECT feature, round(coef, 6) AS coef FROM (SELECT unnest(names) AS feature, unnest(b) AS coef FROM step, c WHERE n = 800)
+WHERE coef <> 0""")
 def m5(spark, sf):
     parts, names = _folded_grams(spark, sf)
     fit = linear.lasso(gram.total(parts), 0.05)
@@ -155,10 +177,15 @@ def m10_first(spark, sf):
         "standard_importance_rank = 1").select("feature")
 
 
+def _shares(df, rows: int, **shares: float):
+    """Exact quantiles of the target, without a group of all rows."""
+    return quantiles(df.select(F.lit(0).alias("idx"), F.col("y").alias("value")), "idx", rows, shares)
+
+
 def labelled(spark, sf):
     """Label first, then the features: above or below the median of the target."""
     obs = v.cleaned(spark, sf).obs
-    middle = obs.df.agg(F.median("y")).first()[0]
+    middle = _shares(obs.df, v.cleaned(spark, sf).rows, half=0.5).first()["half"]
     return obs.df.select((F.col("y") > middle).cast("int").alias("Label"), *[
         F.col("features")[i].alias(n) for i, n in enumerate(obs.names)])
 
@@ -205,7 +232,7 @@ def t12(spark, sf):
 @query("m30_reconstruction_error")
 def m30(spark, sf):
     errors = components.reconstruction_error(
-        embedded(spark, sf), F.array(*[F.col(f"_c{i}") for i in range(1, 21)]), 2, keep=("_c0",))
+        embedded(spark, sf), F.array(*[F.col(f"_c{i}") for i in range(1, DIMS + 1)]), 2, keep=("_c0",))
     return errors.select(F.col("_c0").alias("id"), F.round("error", 4).alias("error"))
 
 
@@ -281,8 +308,8 @@ CLASSES = 3
 def classed(spark, sf):
     """Min-max features, with thirds of the target as class and stratified folds."""
     c = v.cleaned(spark, sf)
-    cuts = c.obs.df.agg(F.percentile("y", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()["q"]
-    label = F.when(F.col("y") > cuts[1], 2).when(F.col("y") > cuts[0], 1).otherwise(0)
+    cuts = _shares(c.obs.df, c.rows, low=1 / 3, high=2 / 3).first()
+    label = F.when(F.col("y") > cuts["high"], 2).when(F.col("y") > cuts["low"], 1).otherwise(0)
     boxed = scale.min_max(c.obs, c.stats)
     df = boxed.df.withColumn("label", label)
     return boxed.with_df(split.stratified_fold(df, 5, c.rows))
@@ -322,6 +349,24 @@ def m30_metrics(spark, sf):
                                              r6("f1"))
 
 
+@query("m27_all_components", """WITH e AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+z AS (SELECT vec_id, (x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim) AS z FROM e)
+SELECT vec_id AS id, round(sum(z * z), 5) AS length2 FROM z GROUP BY vec_id""")
+def m27_all(spark, sf):
+    """All components together keep the length of every row."""
+    scores, _ = components.pca_scores(embedded(spark, sf), k=DIMS)
+    return scores.select("id", F.round(sum(F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(1, DIMS + 1)), 5).alias("length2"))
+
+
+@query("m30_reconstruction_full", "SELECT vec_id AS id, 0.0::DOUBLE AS error FROM embeddings")
+def m30_full(spark, sf):
+    """Nothing is lost with as many components as columns."""
+    errors = components.reconstruction_error(
+        embedded(spark, sf), F.array(*[F.col(f"_c{i}") for i in range(1, DIMS + 1)]), DIMS, keep=("_c0",))
+    return errors.select(F.col("_c0").alias("id"), F.round("error", 4).alias("error"))
+
+
 @query("m30_component_clusters")
 def m30_clusters(spark, sf):
     scores, _ = components.pca_scores(embedded(spark, sf))
@@ -358,6 +403,49 @@ def m29_regression(spark, sf):
                                r6("abs_corr_target_suggestion"), r6("maximum_info_coeff"))
 
 
+@query("m29_saved_importance", f"""WITH {v.RAW_SQL}
+SELECT '0' AS result, split_part(feature, '.', 1) AS step_id, split_part(feature, '.', 2) AS xparam,
+  '20240105-report' AS jobid, '20240105' AS dt FROM lng
+GROUP BY feature HAVING var_samp(value) > 0""")
+def m29_saved(spark, sf):
+    """A report through its three tables and back: the importance table has every feature once."""
+    db, job = _database(spark), "20240105-report"
+    report = reports.regression_report(v.observations(spark, sf), rounds=1, **LIGHT)
+    report.save(db, job, spark)
+    for kind, rows in (("coefficients", report.coefficients), ("final_report", report.final)):
+        if results.read_results(spark, db, kind, job).count() != rows.count():
+            raise AssertionError(f"{kind} was not stored whole")
+    return results.read_results(spark, db, "importance", job).select("result", "step_id", "xparam", "jobid", "dt")
+
+
+@query("m26_saved_forest", f"""WITH {v.CLEAN_SQL}
+SELECT DISTINCT '20240106-forest' AS job_id, feature AS param, '20240106' AS dt FROM lng""")
+def m26_saved(spark, sf):
+    """A fitted forest through the forest table and back; importances add up to 1."""
+    db, job = _database(spark), "20240106-forest"
+    _, importances = trees.forest_importance(labelled(spark, sf), trees=50, depth=8)
+    results.append(results.forest_rows(importances, job), f"{db}.forest")
+    stored = results.read_results(spark, db, "forest", job, digits=9)
+    if abs(stored.agg(F.sum("value")).first()[0] - 1) > 1e-6:
+        raise AssertionError("importances do not add up")
+    return stored.select("job_id", "param", "dt")
+
+
+@query("m27_saved_scores", """WITH e AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+z AS (SELECT vec_id, (x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim) AS z FROM e)
+SELECT vec_id AS id, round(sum(z * z), 5) AS length2 FROM z GROUP BY vec_id""")
+def m27_saved(spark, sf):
+    """From a matrix file without header to scores in a file with one, read back."""
+    path = scratch_path(spark, "scores")
+    embedded(spark, sf).write.csv(f"{path}/in")
+    scores, _ = components.pca_scores(load_matrix(spark, f"{path}/in"), k=DIMS)
+    results.write_single_csv(scores, f"{path}/out", single=False)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/out")
+    return back.select(F.col("id").cast("bigint").alias("id"),
+                       F.round(sum(F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(1, DIMS + 1)), 5).alias("length2"))
+
+
 @query("m29_clustering_report")
 def m29_clustering(spark, sf):
     obs = v.observations(spark, sf)

@@ -21,7 +21,7 @@ from yieldscope.sources import results
 from yieldscope.sources.observations import (
     CLUSTERING_EXCLUDED, col, input_path, load_matrix, load_observations, numeric_columns, preview)
 
-DIMS = 20
+DIMS = 64
 
 
 def r6(c, name=None):
@@ -30,7 +30,7 @@ def r6(c, name=None):
 
 
 def embedded(spark, sf):
-    """``_c0`` id and the first twenty embedding dimensions as ``_c1 … _c20``."""
+    """``_c0`` id and all embedding dimensions as ``_c1 … _c64``."""
     return v.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("_c0"),
         *[F.col("embedding")[i].cast("double").alias(f"_c{i + 1}") for i in range(DIMS)])
@@ -385,22 +385,22 @@ def p18(spark, sf):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("acctbal"), 2).alias("total"))
 
 
-@query("p19_vector_elements", """SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS e1,
-  round(CAST(embedding[2] AS DOUBLE), 6) AS e2 FROM embeddings""")
+@query("p19_vector_elements", """SELECT vec_id, unnest(range(len(embedding))) AS at,
+  round(CAST(unnest(embedding) AS DOUBLE), 6) AS e FROM embeddings""")
 def p19(spark, sf):
     vectors = v.table(spark, sf, "embeddings").select(
         "vec_id", vector_to_array(array_to_vector("embedding")).alias("e"))
-    return vectors.select("vec_id", F.round(F.col("e")[0], 6).alias("e1"),
-                          F.round(F.col("e")[1], 6).alias("e2"))
+    return vectors.select("vec_id", F.posexplode("e").alias("at", "e")).select(
+        "vec_id", F.col("at").cast("bigint").alias("at"), r6("e"))
 
 
 @query("p20_high_variance", f"""WITH {v.RAW_SQL}
-SELECT feature, round(var_samp(value), 4) AS variance FROM lng
-WHERE feature <> 'step5.due' GROUP BY feature HAVING var_samp(value) > 0.01""")
+SELECT feature, round(ln(var_samp(value)), 6) AS log_variance FROM lng
+GROUP BY feature HAVING var_samp(value) > 0.01""")
 def p20(spark, sf):
-    obs = prepare.drop_null_response(v.observations(spark, sf)).select(v.FEATURES[:10])
+    obs = prepare.drop_null_response(v.observations(spark, sf))
     return (prepare.high_variance(moments(obs)).join(F.broadcast(obs.dictionary()), "idx")
-            .select("feature", F.round(F.col("std") * F.col("std"), 4).alias("variance")))
+            .select("feature", F.round(F.log(F.col("std") * F.col("std")), 6).alias("log_variance")))
 
 
 @query("p21_feature_subset", f"""WITH {v.CLEAN_SQL}
@@ -414,13 +414,13 @@ def p21(spark, sf):
 # ---- joins and reshapes --------------------------------------------------------
 
 @query("j1_join_by_row", f"""WITH {v.SCALED_SQL}
-SELECT z.row_id, round(z.value, 6) AS quantity, epoch_us(end_time) AS micros, round(sqrt(abs(wide.y)), 6) AS y_root
-FROM z JOIN wide ON z.row_id = wide.row_id WHERE feature = 'step1.quantity'""")
+SELECT z.row_id, feature, round(z.value, 6) + 0 AS value, epoch_us(end_time) AS micros, round(sqrt(abs(wide.y)), 6) AS y_root
+FROM z JOIN wide ON z.row_id = wide.row_id""")
 def j1(spark, sf):
-    features = v.scaled(spark, sf).select(["step1.quantity"]).df.select("row_id", "features")
+    features = _named(v.scaled(spark, sf))
     response = v.cleaned(spark, sf).obs.df.select("row_id", "ts", "y")
     return features.join(response, "row_id").select(
-        "row_id", F.round(F.col("features")[0], 6).alias("quantity"),
+        "row_id", "feature", (F.col("value") + 0.0).alias("value"),
         fn.time_number(F.col("ts")).cast("bigint").alias("micros"), r6(F.sqrt(F.abs("y")), "y_root"))
 
 
@@ -465,18 +465,16 @@ def t1(spark, sf):
     return _named(v.scaled(spark, sf)).withColumn("value", F.col("value") + 0.0)
 
 
-@query("t2_standard_scaler", """SELECT vec_id,
-  round((embedding[1] - avg(CAST(embedding[1] AS DOUBLE)) OVER ())
-    / stddev_samp(CAST(embedding[1] AS DOUBLE)) OVER (), 5) + 0 AS z1,
-  round((embedding[2] - avg(CAST(embedding[2] AS DOUBLE)) OVER ())
-    / stddev_samp(CAST(embedding[2] AS DOUBLE)) OVER (), 5) + 0 AS z2 FROM embeddings""")
+@query("t2_standard_scaler", """WITH e AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT vec_id, dim, round((x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim), 5) + 0 AS z FROM e""")
 def t2(spark, sf):
     vectors = v.table(spark, sf, "embeddings").select(
-        "vec_id", array_to_vector(F.slice("embedding", 1, DIMS)).alias("features"))
+        "vec_id", array_to_vector("embedding").alias("features"))
     model = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True)
-    z = vector_to_array("z")
-    return model.fit(vectors).transform(vectors).select(
-        "vec_id", (F.round(z[0], 5) + 0.0).alias("z1"), (F.round(z[1], 5) + 0.0).alias("z2"))
+    scaled = model.fit(vectors).transform(vectors).select(
+        "vec_id", F.posexplode(vector_to_array("z")).alias("dim", "z"))
+    return scaled.select("vec_id", F.col("dim").cast("bigint").alias("dim"), (F.round("z", 5) + 0.0).alias("z"))
 
 
 @query("t3_unit_columns", f"""WITH {v.CLEAN_SQL},

@@ -120,19 +120,21 @@ def a7(spark, sf):
 
 
 FOLDED_SQL = v.CLEAN_SQL + """,
-placed AS (SELECT row_id, y, quantity, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n
-  FROM known),
-folded AS (SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+placed AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM known),
+folded AS (SELECT row_id, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
   ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM placed)"""
 
 
 @query("a8_mean_fold_score", f"""WITH {FOLDED_SQL}
-SELECT round(avg(r2), 6) AS score FROM (SELECT fold, regr_r2(y, quantity) AS r2 FROM folded GROUP BY fold)""")
+SELECT feature, round(avg(r2), 6) AS score FROM (
+  SELECT feature, fold, regr_r2(y, value) AS r2 FROM lng JOIN folded USING (row_id) GROUP BY ALL) GROUP BY feature""")
 def a8(spark, sf):
     c = v.cleaned(spark, sf)
-    folded = split.contiguous_fold(c.obs.select(["step1.quantity"]).df, 5, c.rows)
-    scores = folded.groupBy("fold").agg(F.regr_r2("y", F.col("features")[0]).alias("r2"))
-    return scores.agg(F.round(F.avg("r2"), 6).alias("score"))
+    folded = split.contiguous_fold(c.obs.df, 5, c.rows)
+    each = folded.select("fold", "y", F.posexplode("features").alias("idx", "value"))
+    scores = each.groupBy("idx", "fold").agg(F.regr_r2("y", "value").alias("r2"))
+    return (scores.groupBy("idx").agg(F.round(F.avg("r2"), 6).alias("score"))
+            .join(F.broadcast(c.obs.dictionary()), "idx").select("feature", "score"))
 
 
 @query("a9_weighted_chunks", f"""WITH {v.CLEAN_SQL},
@@ -229,7 +231,8 @@ def w6(spark, sf):
     c = v.cleaned(spark, sf)
     pairs = correlate.spearman(c.obs, c.rows).filter("a <> b AND a <> 'target' AND b <> 'target'")
     score = F.abs("r")
-    best = F.max_by(F.struct("a", score.alias("score")), score)
+    # of equal scores the first name wins
+    best = F.min(F.struct((-score).alias("low"), "a", score.alias("score")))
     return pairs.groupBy(F.col("b").alias("suggestion")).agg(best.alias("t")).select(
         "suggestion", F.col("t.a").alias("final"), r6(F.col("t.score"), "score"))
 
@@ -324,7 +327,13 @@ def m12(spark, sf):
     return correlate.with_p_value(rho(spark, sf)).select("feature", F.round("t", 5).alias("t"), "dof")
 
 
-@query("m12_spearman_p_values")
+@query("m12_spearman_p_values", f"""WITH {RHO_SQL}, n AS (SELECT count(*) AS n FROM known),
+t AS (SELECT feature, rho, abs(rho * sqrt((n - 2) / (1 - rho * rho))) AS t, CAST(n - 2 AS DOUBLE) AS d FROM rho, n),
+steps AS (SELECT *, unnest(range(0, 4001)) AS i FROM t),
+density AS (SELECT feature, rho, t, exp(lgamma((d + 1) / 2) - lgamma(d / 2)) / sqrt(pi() * d)
+    * pow(1 + pow(t * i / 4000, 2) / d, -(d + 1) / 2) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS f FROM steps)
+SELECT feature, round(rho, 6) AS rho, round(greatest(1 - 2 * sum(f) * t / 12000, 0), 6) + 0 AS p_value
+FROM density GROUP BY feature, rho, t""")
 def m12_p(spark, sf):
     return correlate.with_p_value(rho(spark, sf)).select("feature", r6("rho"), r6("p_value"))
 

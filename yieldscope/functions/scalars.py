@@ -41,6 +41,8 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.isnan(c)
 
 
+# The bounds of the two verdicts below.
+
 def silhouette_band(score: Column) -> Column:
     """Quality of a clustering in words, by the customary bounds."""
     return (F.when(score > 0.7, "strong").when(score > 0.5, "reasonable")

@@ -94,36 +94,32 @@ def t_statistic(r: Column, n: Column) -> Column:
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t, by the continued fraction of the incomplete beta."""
 
-    def tail(value: float, nu: float) -> float:
-        if not np.isfinite(value) or nu <= 0:
-            return float("nan")
-        x, a, b = nu / (nu + value * value), nu / 2, 0.5
-        mirrored = x > (a + 1) / (a + b + 2)
-        if mirrored:
-            x, a, b = 1 - x, b, a
-        if x <= 0:
-            return 1.0 if mirrored else 0.0
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                         + a * math.log(x) + b * math.log1p(-x)) / a
-        # modified Lentz evaluation
-        tiny, c = 1e-300, 1.0
-        d = 1 / max(1 - (a + b) * x / (a + 1), tiny)
-        fraction = d
-        for m in range(1, 400):
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            for term in (even, odd):
-                d = 1 + term * d
-                c = 1 + term / c
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = c if abs(c) > tiny else tiny
-                fraction *= c * d
-            if abs(c * d - 1) < 1e-15:
-                break
-        part = front * fraction
-        return 1 - part if mirrored else part
-
-    return pd.Series([tail(a, b) for a, b in zip(t.fillna(np.nan), dof)], dtype="float64")
+    value, nu = t.to_numpy(float, na_value=np.nan), dof.to_numpy(float, na_value=np.nan)
+    known = np.isfinite(value) & (nu > 0)
+    value, nu = np.where(known, value, 0.0), np.where(known, nu, 1.0)
+    x, a, b = nu / (nu + value * value), nu / 2, np.full(len(nu), 0.5)
+    mirrored = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(mirrored, 1 - x, x), np.where(mirrored, b, a), np.where(mirrored, a, b)
+    gammas = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b)])
+    with np.errstate(divide="ignore"):
+        front = np.exp(gammas + a * np.log(x) + b * np.log1p(-x)) / a
+    # modified Lentz evaluation of all rows at once
+    tiny, c = 1e-300, np.ones(len(x))
+    d = 1 / np.maximum(1 - (a + b) * x / (a + 1), tiny)
+    fraction = d
+    for m in range(1, 400):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d = 1 + term * d
+            c = 1 + term / c
+            d = 1 / np.where(np.abs(d) > tiny, d, tiny)
+            c = np.where(np.abs(c) > tiny, c, tiny)
+            fraction = fraction * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
+    part = front * fraction
+    return pd.Series(np.where(known, np.where(mirrored, 1 - part, part), np.nan), dtype="float64")
 
 
 def with_p_value(pairs: DataFrame, r: str = "rho", n: str = "n") -> DataFrame:

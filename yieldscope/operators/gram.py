@@ -103,10 +103,11 @@ class Gram:
 def grams(df: DataFrame, part: Column | None = None) -> dict[int, Gram]:
     """Product sums per part, from rows with ``features`` and ``y``."""
     z = F.concat(F.array(F.lit(1.0)), F.col("features"), F.array(F.col("y").cast("double")))
+    one = df.select(F.size("features").alias("n")).first()
+    if one is not None and one["n"] + 2 > MAX_WIDTH:
+        raise ValueError(f"{one['n'] + 2} columns exceed the product table's bound; prescreen first")
     rows = product_sums(df, z, part).toPandas()
     width = int(rows["j"].max()) + 1 if len(rows) else 0
-    if width > MAX_WIDTH:
-        raise ValueError(f"{width} columns exceed the product table's bound; prescreen first")
     out = {}
     for p, cells in rows.groupby("part"):
         table = np.zeros((width, width))

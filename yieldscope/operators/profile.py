@@ -24,7 +24,12 @@ def moments(obs: Observations) -> DataFrame:
 
 
 def quartiles(long: DataFrame, key: str, rows_per_key: int) -> DataFrame:
-    """``(key, q25, q50, q75)``, linearly interpolated and exact.
+    """``(key, q25, q50, q75)``, linearly interpolated and exact."""
+    return quantiles(long, key, rows_per_key, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+
+
+def quantiles(long: DataFrame, key: str, rows_per_key: int, shares: dict[str, float]) -> DataFrame:
+    """``key`` and one column for each named share, linearly interpolated and exact.
 
     Works on the distinct values with their counts: the value at an ordered
     position is the one whose run of positions covers it. No group is held in
@@ -34,7 +39,7 @@ def quartiles(long: DataFrame, key: str, rows_per_key: int) -> DataFrame:
     totals = placed.groupBy(key).agg(F.sum("cnt").alias("total"))
     runs = placed.join(totals, key)
     out = []
-    for label, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+    for label, share in shares.items():
         spot = (F.col("total") - 1) * share
         for edge, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             inside = (F.col("before") <= at) & (at < F.col("before") + F.col("cnt"))
@@ -43,7 +48,7 @@ def quartiles(long: DataFrame, key: str, rows_per_key: int) -> DataFrame:
     edges = runs.groupBy(key).agg(*out)
     return edges.select(key, *[
         (F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_w")).alias(q)
-        for q in ("q25", "q50", "q75")])
+        for q in shares])
 
 
 def describe(obs: Observations, rows: int, approximate: bool = False) -> DataFrame:

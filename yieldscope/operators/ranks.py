@@ -134,8 +134,10 @@ def rank_spots(obs: Observations, rows: int, range_rows: int | None = None) -> D
     """``(row_id, spots)``: for the target (position 0) and each feature the integer
     ``2·before + cnt``, which is twice the average rank less one.
 
-    Kept as integers so that bins cut from it fall alike everywhere.
+    Kept as integers so that bins cut from it fall alike everywhere. Fails if a key
+    stands for several rows, or a value has found no place.
     """
+    width = len(obs.names) + 1
     joined = obs.df.select("row_id", F.posexplode(
         F.concat(F.array(F.col("y").cast("double")), F.col("features"))).alias("idx", "value"))
     cells = rows * (len(obs.names) + 1)
@@ -146,6 +148,8 @@ def rank_spots(obs: Observations, rows: int, range_rows: int | None = None) -> D
     return (attach_by_value(joined, table, ["idx", "value"], rows, cells)
             .groupBy("row_id")
             .agg(F.array_sort(F.collect_list(F.struct("idx", "spot"))).alias("cells"))
+            .withColumn("cells", F.when(F.size("cells") == width, F.col("cells")).otherwise(
+                F.raise_error(F.concat(F.lit("row_id is not unique or a rank is missing: "), F.col("row_id").cast("string")))))
             .select("row_id", F.transform("cells", lambda c: c["spot"]).alias("spots")))
 
 

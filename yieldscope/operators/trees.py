@@ -22,9 +22,10 @@ from yieldscope.operators.ranks import ranked
 from yieldscope.operators.split import in_test
 from yieldscope.sources.observations import Observations, col
 
+DEPTH = 30      # the deepest trees Spark ML grows: as good as fully grown
 
 def bootstrap_importance(obs: Observations, label: str = "y", task: str = "regression",
-                         rounds: int = 10, trees: int = 100, test: float = 0.3, depth: int = 10,
+                         rounds: int = 10, trees: int = 100, test: float = 0.3, depth: int = DEPTH,
                          seed: int = 42, parallel: int = 2) -> DataFrame:
     """``(iteration, feature, importance, std, s, s_rank, i_rank)`` per round and feature.
 
@@ -101,7 +102,7 @@ def ranking_agreement(a: DataFrame, b: DataFrame, top_n: int = 5) -> DataFrame:
         overlap.alias("overlap"), "spearman")
 
 
-def forest_importance(df: DataFrame, label: str | None = None, trees: int = 500, depth: int = 30,
+def forest_importance(df: DataFrame, label: str | None = None, trees: int = 500, depth: int = DEPTH,
                       seed: int = 42, max_memory_mb: int = 1024):
     """Classifier importance of a labelled table: ``(fitted stages, importance table)``.
 

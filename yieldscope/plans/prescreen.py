@@ -43,7 +43,7 @@ def preset(features: int) -> dict:
 def prescreen(obs: Observations, rows: int, forest_top_n: int = 15, lasso_top_n: int = 10,
               max_features: int = 5, folds: int = 5, variance: bool = True,
               correlated_top_n: int | None = None, rounds: int = 10, forest_trees: int = 50,
-              depth: int = 10, seed: int = 42, parallel: int = 2) -> Funnel:
+              depth: int = trees.DEPTH, seed: int = 42, parallel: int = 2) -> Funnel:
     """Run the funnel on complete observations; see ``preset`` for sizes.
 
     Everything after the forest works on one table of product sums per fold.

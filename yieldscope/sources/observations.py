@@ -119,7 +119,7 @@ def from_wide(df: DataFrame, response: str, row_id: str | None = None,
     Features are the numeric columns other than the response, the key, the time,
     the group and ``exclude``. Without a key column the rows are numbered once
     and written to the shared folder, so that a recomputed partition cannot
-    number them anew.
+    number them anew. Keys must be unique; textual ones are hashed to 64 bits.
     """
     special = {response, time_col, group_col, *([row_id] if row_id else [])}
     names = numeric_columns(df, set(exclude) | special)
@@ -127,11 +127,12 @@ def from_wide(df: DataFrame, response: str, row_id: str | None = None,
         df = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
         row_id = "__row"
     have = set(df.columns)
+    key = F.xxhash64(col(row_id)) if isinstance(df.schema[row_id].dataType, T.StringType) else col(row_id)
     textual = isinstance(df.schema[response].dataType, T.StringType)
     # a textual response is a class label: it stays text until it is label-encoded
     return Observations(
         df.select(
-            col(row_id).cast("bigint").alias("row_id"),
+            key.cast("bigint").alias("row_id"),
             (col(time_col).cast("timestamp") if time_col in have
              else F.lit(None).cast("timestamp")).alias("ts"),
             (col(group_col).cast("string") if group_col in have
