@@ -27,9 +27,9 @@ from yieldscope.llm import segments, texts
 
 SPACE = "▁"
 #: Remembered verdicts on pairs of pieces, at most.
-PAIRS = 300_000
+PAIRS = 200_000
 #: Bytes of a piece of text that is encoded side by side with others, and how many are at once.
-SHORT, ABREAST = 48, 50_000
+SHORT, ABREAST = 48, 15_000
 
 
 class Model:
