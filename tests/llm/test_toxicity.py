@@ -42,3 +42,18 @@ def test_without_labels_every_score_is_even(spark, docs, messy):
 def test_weights_follow_the_closed_form():
     s = toxicity.Ftrl(alpha=0.5, beta=1, l1=1, l2=0.25)
     assert toxicity.weights(np.array([0.5, 3.0]), np.array([1.0, 4.0]), s).tolist() == [0, -(3 - 1) / ((1 + 2) / 0.5 + 0.25)]
+
+
+def test_a_rare_word_weighs_the_same_on_both_sides_of_eight_thousand_rows(spark, docs):
+    def rare(n):
+        rows, labels = [], []
+        for i in range(n):
+            bad = i % 9 == 0
+            word = "zorb" if bad and i % 500 == 0 else "vile" if bad else f"w{i % 7}"
+            rows.append((i, word))
+            labels.append((i, int(bad)))
+        model = toxicity.train(docs(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+        return toxicity.score(docs([(1, "zorb")]), [F.col("doc_id")], model).first().score
+
+    few, many = rare(7_990), rare(8_100)
+    assert abs(few - many) < 0.1

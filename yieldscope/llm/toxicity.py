@@ -2,10 +2,10 @@
 
 A text is the set of its words, pairs of neighbouring words and pairs with one word
 between them, each hashed to one of 2^BITS places. Training runs on a bounded sample
-of labelled rows, dealt to a few tasks: each runs FTRL-proximal (a rate of
-its own for each coordinate, L1 and L2 penalties) over its share, and the states
-(z, n) are averaged place by place. L1 leaves few weights other than 0, and those
-alone go to the tasks that score.
+of labelled rows, in one task at every size: FTRL-proximal (a rate of its own for
+each coordinate, L1 and L2 penalties) meets all rows one after another, so that L1
+weighs the same evidence however many rows there are. L1 leaves few weights other
+than 0, and those alone go to the tasks that score.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from yieldscope.llm import texts
 BITS = 20
 #: Labelled rows to train on at most, chosen by a hash of the id.
 SAMPLE = 32_000
-#: Rows that one task trains on; a larger sample is dealt to more tasks (at most four).
-SHARE_ROWS = 8_000
 
 
 @dataclass(frozen=True)
@@ -107,27 +105,26 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     chosen = (labels.select(F.col(doc_id).alias("id__"), F.col(label).cast("int").alias("y__"))
               .where("id__ is not null and y__ in (0, 1)").groupBy("id__").agg(F.max("y__").alias("y__"))
               .orderBy(F.xxhash64("id__"), "id__").limit(sample))
-    count = chosen.count()
-    shares = max(1, -(-count // SHARE_ROWS))
-    share = F.pmod(F.xxhash64(F.col("id__"), F.lit(1)), F.lit(shares)).cast("int")
     rows = texts.map_texts(
         documents.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("id__")),
-        [share.alias("share__"), F.col("id__"), F.col("y__")], F.col(f"`{text}`"), _features, "places array<int>")
-
-    def fit(pdf):
-        import pandas as pd
-
-        pdf = pdf.assign(order=pdf["id__"].astype(str).str[::-1]).sort_values(["order", "y__"])
-        z, n = learn(list(zip(pdf.pop("places"), pdf["y__"].astype(int))), settings)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"place": at, "z": z[at], "n": n[at]})
-
-    states = rows.groupBy("share__").applyInPandas(
-        fit, "place bigint, z double, n double")
-    mean = states.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c"))
-    # L1 is applied before anything comes to the driver
-    got = mean.where(F.abs(F.col("z")) > settings.l1 * F.lit(shares)).toPandas()
-    z, n = got["z"].to_numpy(float) / shares, got["n"].to_numpy(float) / shares
+        [F.reverse(F.col("id__").cast("string")).alias("order__"), F.col("y__")], F.col(f"`{text}`"), _features, "places array<int>")
+
+    def fit(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        # lists of Arrow stay as they are: rows are views of them
+        places = [np.split(b.column(2).flatten().to_numpy(), np.cumsum(b.column(2).value_lengths().to_numpy())[:-1]) for b in held]
+        places = [row for part in places for row in part]
+        order, y = ([v for b in held for v in b.column(i).to_pylist()] for i in (0, 1))
+        turn = sorted(range(len(y)), key=lambda i: (order[i], y[i]))
+        z, n = learn([(places[i], y[i]) for i in turn], settings)
+        # L1 is applied before anything comes to the driver
+        at = np.flatnonzero(np.abs(z) > settings.l1)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z[at]), pa.array(n[at])], names=["place", "z", "n"])
+
+    got = rows.repartition(1).mapInArrow(fit, "place bigint, z double, n double").toPandas()
+    z, n = got["z"].to_numpy(float), got["n"].to_numpy(float)
     return Model(got["place"].to_numpy(np.int64), weights(z, n, settings))
 
 
