@@ -22,13 +22,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 80 %) the document with the smallest id.
+    """Of each group of near copies (five words, 80 %) one row: that with the smallest id, null ids last.
 
-    Repeated ids in a group keep one row; rows without shingles are no copies of each other.
+    Rows are told apart by id and text; of those that repeat both, one stays. Rows without
+    shingles are no copies of each other and stay.
     """
-    found = jaccard.near_duplicates(docs, size=5, percent=80)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    # no null inside, so that keys are equal and sorted as whole values
+    key = F.struct(F.isnull("doc_id").alias("last"), F.coalesce("doc_id", zero).alias("id"), F.xxhash64("text").alias("mark"))
+    path = scratch_path(spark, "copies")
+    jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0").groupBy(
+        F.col("doc_id").alias("key__")).agg(F.first("component_id").alias("low__"), F.count("*").alias("c__")).where(
+        "key__ <> low__ or c__ > 1").write.parquet(path)
+    told = spark.read.parquet(path)
+    row = docs.select(key.alias("key__"), texts.whole_row(docs))
+    single = row.join(told.select("key__"), "key__", "left_anti").select("row__.*")
+    repeated = (row.join(told.where("key__ = low__").select("key__"), "key__", "left_semi")
+                .groupBy("key__").agg(F.first("row__").alias("row__")).select("row__.*"))
+    return single.unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,19 @@ def test_queries_have_the_columns_agreed(spark):
         query = next(q for q in catalog.QUERIES if q.startswith(f"{name}_"))
         found = catalog.QUERIES[query](spark, SF)
         assert set(columns.split()) <= set(found.columns), name
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [(1, text["a"]), (1, text["a"]), (1, text["a"]),  # repeated rows
+            (2, text["b"]), (None, text["b"]),  # a null id that copies a row with one
+            (None, text["c"]), (None, text["c"] + " more"), (None, text["c"]),  # null ids only
+            (3, text["d"]), (5, text["d"]), (5, text["e"]),  # one id, two texts, one of them a copy
+            (6, text["f"]), (6, text["f"] + " more"),  # one id, near copies
+            (7, ""), (7, ""), (None, None), (8, None)]  # no shingles
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string").repartition(4)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = [(r.doc_id, (r.text or "-")[0], r.lang) for r in got.collect()]
+    keys = [(1, "a"), (2, "b"), (None, "c"), (3, "d"), (5, "e"), (6, "f"), (7, "-"), (7, "-"), (None, "-"), (8, "-")]
+    assert sorted(map(str, got)) == sorted(str((*k, "en")) for k in keys)
