@@ -59,6 +59,18 @@ def test_queries_have_the_columns_agreed(spark):
         assert set(columns.split()) <= set(found.columns), name
 
 
+def test_without_evidence_all_documents_stay(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for n in (0, 4):
+        labels = spark.read.parquet(f"{SF}/labels.parquet").limit(n)
+        folder = f"{tmp_path}/{n}"
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == docs.count()
+        assert catalog.QUERIES["op10_toxicity"](spark, folder).where("predicted <> 0").count() == 0
+
+
 def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
     rows = [(1, text["a"]), (1, text["a"]), (1, text["a"]),  # repeated rows

@@ -66,12 +66,12 @@ def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of all documents by a model of the labelled rows that are not held out."""
+    """Scores of all documents by a model of the labelled rows that are not held out; 0.5 is no evidence."""
     documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = toxicity.train(documents, labels.where(~held_out))
     scored = toxicity.score(documents, [F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")], model)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") > 0.5).cast("int"))
 
 
 @query("op9_ring_shards")
