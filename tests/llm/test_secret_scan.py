@@ -58,3 +58,13 @@ def test_no_findings_and_an_empty_table(spark, docs):
     assert forest.score(np.zeros((2, 16))).tolist() == [0, 0]
     bits, forest = secret_scan.fitted(docs([]), DICTIONARY)
     assert secret_scan.scan(docs([]), [F.col("doc_id")], bits, forest, DICTIONARY).count() == 0
+
+
+def test_rare_secrets_train_the_forest_and_copies_count_once(spark):
+    draw = np.random.default_rng(7)
+    rows = [(draw.normal(size=16).tolist(), 0) for _ in range(4000)] + [((draw.normal(size=16) + 6).tolist(), 1) for _ in range(3)]
+    hot = [(draw.normal(size=16).tolist(), 0)] * 4000
+    for seed in (1, 2):
+        forest = secret_scan.train(spark.createDataFrame(rows + hot, "features array<double>, label int"), sample=1000, seed=seed)
+        score = forest.score(np.array([r[0] for r in rows]))
+        assert (score[4000:] >= 0.5).all() and (score[:4000] >= 0.5).mean() < 0.01

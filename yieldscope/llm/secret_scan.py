@@ -22,8 +22,10 @@ from yieldscope.llm import segments, texts
 from yieldscope.session import scratch_path
 
 LEAST = 12
-#: Labelled findings to train on at most, chosen by a hash of their place.
+#: Distinct labelled findings to train on at most, half of them for each label, chosen by a hash of their features.
 SAMPLE = 20_000
+#: Rows that the findings of a rarer label are repeated to, so that each tree sees them.
+_SEEN = 100
 FEATURES = ("length", "transitions", "surprise", "entropy", "digits", "capitals", "smalls", "hex", "coverage",
             "in_path", "in_address", "assigned", "quoted", "key_before", "key_after", "word_before")
 
@@ -202,20 +204,28 @@ def _around(data, offsets, t, a, b) -> tuple[bytes, bytes, bytes]:
 
 def train(labelled: DataFrame, *, trees: int = 20, depth: int = 8, sample: int = SAMPLE, seed: int = 17) -> Forest:
     """A forest from rows of (features, label), label 0 or 1. Others take no part; with rows of
-    one label only, or none, every candidate gets the share of ones (or 0)."""
+    one label only, or none, every candidate gets the share of ones (or 0). Equal rows count
+    once, up to half of ``sample`` of each label is drawn, and both labels weigh the same."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = labelled.sparkSession
     path = scratch_path(spark, "findings")
     (labelled.where("label in (0, 1)").select("features", F.col("label").cast("double").alias("label"))
-     .withColumn("h", F.xxhash64("features", "label")).orderBy("h").limit(sample).drop("h").write.parquet(path))
-    rows = spark.read.parquet(path)
+     .distinct().write.parquet(f"{path}/distinct"))
+    distinct = spark.read.parquet(f"{path}/distinct")
+    zeros, ones = (distinct.where(F.col("label") == v).orderBy(F.xxhash64("features"), "features").limit(sample // 2) for v in (0, 1))
+    zeros.unionByName(ones).write.parquet(f"{path}/drawn")
+    rows = spark.read.parquet(f"{path}/drawn")
     ones, every = rows.agg(F.sum("label"), F.count("*")).first()
     if not every or ones in (0, every):
         return Forest((), float(ones or 0) / max(every, 1))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(
-        rows.select(array_to_vector("features").alias("features"), "label"))
+    of = lambda one, zero: F.when(F.col("label") == 1, F.lit(one)).otherwise(F.lit(zero))
+    times = [-(-_SEEN // int(n)) for n in (ones, every - ones)]
+    rows = rows.withColumn("weight", of(*[every / (2.0 * n * t) for n, t in zip((ones, every - ones), times)])).withColumn(
+        "again", F.explode(F.sequence(F.lit(1), of(*times))))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", weightCol="weight").fit(
+        rows.select(array_to_vector("features").alias("features"), "label", "weight"))
     return Forest(tuple(_tree(t) for t in model.trees), 0.0)
 
 
