@@ -68,3 +68,32 @@ def test_rare_secrets_train_the_forest_and_copies_count_once(spark):
         forest = secret_scan.train(spark.createDataFrame(rows + hot, "features array<double>, label int"), sample=1000, seed=seed)
         score = forest.score(np.array([r[0] for r in rows]))
         assert (score[4000:] >= 0.5).all() and (score[:4000] >= 0.5).mean() < 0.01
+
+
+def test_whole_values_behind_key_words_are_candidates():
+    cases = {"password=hunter2x, then": "hunter2x", "my password: p@ss#word...": "p@ss#word", "api_key='hUnTerXyz'": "hUnTerXyz",
+             '{"secret": "two words 7", "b": 1}': "two words 7", "/x?token=ab1&user=bob": "ab1", "passwd = a'b<c": "a'b<c",
+             'token = "0123456789abcdef0123"': "0123456789abcdef0123", "auth: http://a.b/c?d": "http://a.b/c?d",
+             "auth http://a.b/c": None, "the password": None, "= x": None, "password=": None, "plain: value1": None}
+    raw = [c.encode() for c in cases]
+    offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    found = list(zip(*(x.tolist() for x in secret_scan.candidates(offsets, data))))
+    got = {t: [b"".join(raw)[a:b].decode() for u, a, b in found if u == t] for t in range(len(raw))}
+    assert got == {i: [v] if v else [] for i, v in enumerate(cases.values())}
+
+
+def test_short_and_odd_values_are_found_and_words_are_not(docs):
+    draw = random.Random(9)
+    small = lambda n: "".join(draw.choice("abcdefghkmnpqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(400):
+        middle = [f"password={small(5)}{draw.randrange(10, 99)}x", f"password={small(3)}@{small(2)}#{draw.randrange(10, 99)}",
+                  "password: required", "token: information", f"number {draw.randrange(10**14, 10**15)}"][i % 5]
+        rows.append((i, f"some words before {middle} and words behind"))
+    rows += [(1000, "a password=hunter2x here"), (1001, "a password=p@ss#word9 here")]
+    source = docs(rows)
+    found = secret_scan.scan(source, [F.col("doc_id"), F.col("text")], *secret_scan.fitted(source, DICTIONARY), DICTIONARY).collect()
+    for r in found:
+        assert len(r.secrets) == (r.doc_id >= 1000 or r.doc_id % 5 < 2), r
+    clean = {r.doc_id: r.clean for r in found}
+    assert clean[1000] == clean[1001] == "a password=[SECRET] here"

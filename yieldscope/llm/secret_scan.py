@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by shape, false ones removed by a random forest.
 
 A candidate is a run of at least ``LEAST`` characters of the alphabets that keys are
-written in, with a digit or in capitals. Its features are its length, how its characters
+written in, with a digit or in capitals, or the whole value behind a key word and = or :,
+whatever its length and signs. Its features are its length, how its characters
 follow one another (against the transitions of the whole corpus), how much of it
 dictionary words cover, whether it is part of a path or address, and the words beside
 it. A forest (Spark ML) is trained from labelled findings, by default those that known
@@ -35,6 +36,12 @@ KNOWN = re.compile(rb"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[rs]k_
 KEY_WORDS = re.compile(rb"token|passw|pwd|secret|api[_-]?key|auth|bearer|credential|private[_-]?key", re.I)
 NO_SECRET = re.compile(rb"[0-9]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[A-Za-z]+|[0-9]+(?:[-/][0-9]+)+")
 
+#: A value behind = or :, in quotes or up to a blank, a tag or the next name with = or :, and signs that end no bare one.
+_VALUE = re.compile(rb"""[ \t]{0,8}(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?((?=[^=:\\])(?:(?![&;,]["']?[A-Za-z_-]+["']?[=:]|<[/!]?[A-Za-z][^<>\r\n]{0,200}>)[^\s"])+))""")
+_NAMED = re.compile(rb"(?:" + KEY_WORDS.pattern + rb")[^=:&;,\r\n]*\Z", re.I)
+_TAIL = b"'`,;.:)]}>"
+_NAMES = re.compile(rb"author(?!i[sz])|secretar", re.I)
+
 _ALPHABET = texts.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2D, 0x2D), (0x2F, 0x2F), (0x5F, 0x5F))
 
 
@@ -90,15 +97,42 @@ class Dictionary:
         return covered / max(1, len(piece))
 
 
+def _assigned(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, start, end) of the values behind a key word and = or :."""
+    at = np.flatnonzero((data == 0x3D) | (data == 0x3A))
+    text = np.searchsorted(offsets, at, side="right") - 1
+    blob, out, done = data.tobytes(), [], 0
+    for p, t, first, last in zip(at.tolist(), text.tolist(), offsets[text].tolist(), offsets[text + 1].tolist()):
+        # the colon of an address assigns nothing
+        if p < done or blob[p + 1:min(p + 3, last)] == b"//" or not _NAMED.search(blob, max(first, p - 24), p):
+            continue
+        if m := _VALUE.match(blob, p + 1, last):
+            start, end = m.span(m.lastindex)
+            if m.lastindex == 3:
+                end = start + len(m[3].rstrip(_TAIL))
+            if start < end:
+                out.append((t, start, end))
+                done = end
+    return out
+
+
 def candidates(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of all candidates of a chunk, as places in it."""
+    """(text, start, end) of all candidates of a chunk, as places in it, in order and apart."""
     runs = texts.Words(data, offsets, _ALPHABET, hashed=False)
     size = runs.ends - runs.starts
     digit = np.append(0, np.cumsum((data >= 0x30) & (data <= 0x39)))
     small = np.append(0, np.cumsum((data >= 0x61) & (data <= 0x7A)))
     digits, smalls = digit[runs.ends] - digit[runs.starts], small[runs.ends] - small[runs.starts]
     keep = (size >= LEAST) & ((digits > 0) | ((smalls == 0) & (size >= 16)))
-    return runs.text[keep], runs.starts[keep], runs.ends[keep]
+    found = runs.text[keep], runs.starts[keep], runs.ends[keep]
+    whole = np.array(_assigned(offsets, data), np.int64).reshape(-1, 3).T
+    if not whole.shape[1]:
+        return found
+    # a run in a value is part of it
+    apart = np.searchsorted(whole[2], found[1], side="right") == np.searchsorted(whole[1], found[2], side="left")
+    both = [np.concatenate([x[apart], w]) for x, w in zip(found, whole)]
+    order = np.argsort(both[1], kind="stable")
+    return both[0][order], both[1][order], both[2][order]
 
 
 def describe(piece: bytes, before: bytes, after: bytes, bits: np.ndarray, words: Dictionary) -> list[float]:
@@ -125,14 +159,24 @@ _TABLE = _symbols()
 
 
 def known_label(piece: bytes, before: bytes, after: bytes) -> int | None:
-    """1 for a known format or a value given to a key word, 0 for shapes that are no secret, else None."""
+    """1 for a known format or a value given to a key word, 0 for shapes that are no secret, else None.
+
+    Values of a key word that are not long runs count as secrets with letters and digits
+    only; addresses, phrases, signs and letters in mixed case are left to the forest.
+    """
     if KNOWN.fullmatch(piece):
         return 1
+    given = KEY_WORDS.search(before[-24:]) and re.search(rb"[=:]\s*[\"']?$", before[-24:])
+    if given and re.fullmatch(rb"[A-Za-z]*[a-z][A-Z][A-Za-z]*", piece):
+        return None
     if NO_SECRET.fullmatch(piece) or after[:1] == b"@" or before[-1:] == b"@":
         return 0
-    if KEY_WORDS.search(before[-24:]) and re.search(rb"[=:]\s*[\"']?$", before[-24:]):
+    if not given:
+        return None
+    if re.fullmatch(rb"(?=[^0-9]*[0-9])[A-Za-z0-9+/_-]{12,}|[A-Z0-9+/_-]{16,}", piece):
         return 1
-    return None
+    mixed = re.search(rb"[0-9]", piece) and re.search(rb"[A-Za-z]", piece)
+    return 1 if mixed and not re.search(rb"\s|://", piece) and not _NAMES.search(before[-24:]) else None
 
 
 @dataclass(frozen=True)
