@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, jaccard, pieces, privacy, ring, secret_scan, suffixes, token_file, topk, toxicity
+from yieldscope.llm import decontaminate, jaccard, pieces, privacy, ring, secret_scan, suffixes, token_file, topk, toxicity, trie
+from yieldscope.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,3 +238,43 @@ def op4_secret_forest(spark: SparkSession, sf: str) -> DataFrame:
     spans = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"),
                         F.concat_ws(",", spans).alias("spans"), F.crc32("clean").alias("clean_crc32"))
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), "
+            "lambda c, b: list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)), "
+            "4294967295::BIGINT), 4294967295)")
+
+
+@query("op11_prefix_trie", f"""
+WITH t AS MATERIALIZED (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS pos, r, x
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (SELECT conv_id, {crc_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+    SELECT c.conv_id, 0 AS part, b.pos, b.r, b.x FROM c JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 100 AND b.pos <= h UNION ALL
+    SELECT conv_id, 1, pos, r, x FROM t JOIN c USING (conv_id) WHERE pos > h),
+whole AS (
+    SELECT conv_id, coalesce(w, []) AS w, coalesce(n, []) AS n FROM c LEFT JOIN (
+        SELECT conv_id, list(length(r) || ':' || r || x ORDER BY part, pos) AS w, list(length(x) ORDER BY part, pos) AS n
+        FROM rebuilt GROUP BY conv_id) USING (conv_id)),
+p AS MATERIALIZED (
+    SELECT conv_id, i AS depth, w[:i] AS node, w[:i - 1] AS up, i = len(w) AS ends, CASE WHEN i > 0 THEN n[i] ELSE 0 END AS chars
+    FROM (SELECT *, unnest(range(len(w) + 1)) AS i FROM whole)),
+nodes AS MATERIALIZED (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(chars) AS chars,
+           string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS enders FROM p GROUP BY node, depth),
+kids AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node, depth)),
+sums AS (
+    SELECT a.node, a.depth, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * u.chars) AS saved_tokens
+    FROM counted u JOIN p a ON a.conv_id = u.conv_id AND a.depth <= u.depth GROUP BY ALL)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(v.enders, '')) AS ends_sha256
+FROM counted v JOIN sums USING (node, depth) LEFT JOIN nodes o ON v.depth > 0 AND o.node = v.up AND o.depth = v.depth - 1""")
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The trie of all conversations, their openings shared within each hundred."""
+    conversations = table(spark, sf, "conversations")
+    turns = trie.ordered_turns(conversations, scratch_path(spark, "turns"))
+    return trie.prefix_trie(trie.share_openings(turns), conversations)
