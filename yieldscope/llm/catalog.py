@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, jaccard, pieces, privacy, ring, secret_scan, suffixes, token_file, topk, toxicity, trie
+from yieldscope.llm import decontaminate, jaccard, pieces, privacy, repair, ring, secret_scan, suffixes, token_file, topk, toxicity, trie
 from yieldscope.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,3 +278,60 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     conversations = table(spark, sf, "conversations")
     turns = trie.ordered_turns(conversations, scratch_path(spark, "turns"))
     return trie.prefix_trie(trie.share_openings(turns), conversations)
+
+
+def _row_costs(c: list[str]) -> str:
+    """Costs to go before a row from those behind it, for the four states."""
+    keep = lambda q, initial, to: f"CASE WHEN NOT must THEN CASE WHEN f.initial = '{initial}' THEN 0 ELSE 2 END + cut + {c[to]} ELSE 99999999 END"
+    system = f"CASE WHEN NOT must AND f.initial = 's' THEN cut + {c[1]} ELSE 99999999 END"
+    own = [f"least(3 + {c[0]}, {keep(0, 'u', 2)}, {system})", f"least(3 + {c[1]}, {keep(1, 'u', 2)})",
+           f"least(3 + {c[2]}, {keep(2, 'a', 3)})", f"least(3 + {c[3]}, {keep(3, 'u', 2)})"]
+    two, three = f"least({own[2]}, 2 + {own[3]})", f"least({own[3]}, 2 + {own[2]})"
+    return f"[least({own[0]}, 2 + {two}), least({own[1]}, 2 + {two}), {two}, {three}]"
+
+
+@query("op13_structure_repair", f"""
+WITH RECURSIVE damaged AS (
+    SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+    FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 {crc_sql("(conv_id::VARCHAR || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, substr(role, 1, 1) AS initial FROM damaged),
+f AS MATERIALIZED (
+    SELECT *, NOT blank AND again AS duplicate, blank OR again AS must, (NOT blank AND NOT again AND cut_off)::INT AS cut FROM (
+        SELECT *, core = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+               right(core, 1) NOT IN ('.', '!', '?') AS cut_off, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o)),
+back AS (
+    SELECT conv_id, max(i) + 1 AS i, [0, 4, 2, 0] AS b FROM f GROUP BY conv_id UNION ALL
+    SELECT f.conv_id, f.i, {_row_costs(["b[1]", "b[2]", "b[3]", "b[4]"])} FROM back JOIN f ON f.conv_id = back.conv_id AND f.i = back.i - 1),
+steps AS MATERIALIZED (
+    SELECT back.conv_id, back.i, back.b, next.b AS c, role, text, initial, must, cut
+    FROM back LEFT JOIN back next ON next.conv_id = back.conv_id AND next.i = back.i + 1
+    LEFT JOIN f ON f.conv_id = back.conv_id AND f.i = back.i),
+walk AS (
+    SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS out FROM (SELECT DISTINCT conv_id FROM f) UNION ALL
+    SELECT conv_id, i + (letter <> 'I')::INT, CASE letter WHEN 'D' THEN q WHEN 'K' THEN held ELSE due END, audit || letter,
+           CASE letter WHEN 'D' THEN out WHEN 'I' THEN list_append(out, called || ':') WHEN 'K' THEN list_append(out, role || ':' || text)
+                ELSE list_append(out, called || ':' || text) END
+    FROM (SELECT *, CASE WHEN c IS NOT NULL AND 3 + c[q] = b[q] THEN 'D' WHEN 2 + b[due] = b[q] THEN 'I' WHEN c IS NULL THEN NULL
+                         WHEN NOT must AND held IS NOT NULL AND cut + c[held] = b[q] THEN 'K' ELSE 'R' END AS letter
+          FROM (SELECT walk.*, s.b, s.c, s.role, s.text, s.must, s.cut, CASE q WHEN 3 THEN 4 ELSE 3 END AS due,
+                       CASE q WHEN 3 THEN 'assistant' ELSE 'user' END AS called,
+                       CASE WHEN initial = 's' AND q = 1 THEN 2 WHEN initial = 'u' AND q <> 3 THEN 3 WHEN initial = 'a' AND q = 3 THEN 4 END AS held
+                FROM walk JOIN steps s ON s.conv_id = walk.conv_id AND s.i = walk.i))
+    WHERE letter IS NOT NULL),
+ended AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(out, length(audit)) AS out FROM walk GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+           count(*) FILTER (duplicate) AS duplicate, sum(cut) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b[1], 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)
+LEFT JOIN (SELECT conv_id, b FROM back WHERE i = 1) USING (conv_id)""")
+def op13_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's faults and cheapest repair, after damage by a fixed rule."""
+    conversations = table(spark, sf, "conversations")
+    return repair.repair(repair.damaged(conversations), conversations)
