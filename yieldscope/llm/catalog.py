@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldscope.llm import decontaminate, jaccard, pieces, privacy, repair, ring, secret_scan, suffixes, token_file, topk, toxicity, trie
+from yieldscope.llm import decontaminate, jaccard, langid, pieces, privacy, repair, ring, secret_scan, suffixes, token_file, topk, toxicity, trie
 from yieldscope.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +335,12 @@ def op13_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation's faults and cheapest repair, after damage by a fixed rule."""
     conversations = table(spark, sf, "conversations")
     return repair.repair(repair.damaged(conversations), conversations)
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of all documents by a network of the rows that are not held out."""
+    documents = table(spark, sf, "documents")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    net = langid.train(documents.where(rest != 1))
+    return langid.predict(documents, [F.col("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held_out")], net)
