@@ -148,7 +148,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, *, doc_id: str = "do
     def run(batches):
         from pyspark import TaskContext
 
-        words = WordTokens(vocabulary)
+        # the tokenizer stays with the worker, what is remembered of texts does not
+        words = segments.worker_state(("words", vocabulary), lambda: WordTokens(vocabulary))
         coder = segments.Coder(words.cut, words.encode)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
