@@ -69,10 +69,14 @@ class Model:
         self.hashes, self.hash_ids = hashes[order], np.array(list(self.ids.values()), np.int64)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self._whole: dict[str, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Nothing remembered of the texts so far."""
         self.verdict: dict[int, bool] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.pairs_held = 0
-        self._whole: dict[str, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: the best-scored neighbours first, then the leftmost."""
@@ -241,7 +245,9 @@ class Codec:
     """Ids of texts and back. A text that is not empty gets a space in front, which decoding takes away."""
 
     def __init__(self, path: str):
-        self.model = Model(path)
+        # the model stays with the worker, what it remembers of texts does not
+        self.model = texts.worker_state(("pieces", path), lambda: Model(path))
+        self.model.forget()
         self.coder = segments.Coder(self.cut, self.encode_pieces)
         sizes = np.array([len(x) for x in self.model.out], np.int64)
         self.sizes, self.firsts = sizes, np.cumsum(sizes) - sizes
