@@ -44,6 +44,14 @@ def test_file_against_the_library(spark, docs, messy, tmp_path):
     assert digests == {(r.doc_id, r.start): (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got}
 
 
+def test_rows_of_one_id_come_by_text(spark, docs, tmp_path):
+    rows = [(3, f"text {i % 7}") for i in range(40)] + [(2, "z"), (4, "a")]
+    token_file.write(docs(rows, 7), str(tmp_path / "tokens"), WORDS, end_id=2)
+    whole = Tokenizer.from_file(WORDS)
+    got = sorted(token_file.read(spark, str(tmp_path / "tokens")).collect(), key=lambda r: r.start)
+    assert [r.ids for r in got] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for _, t in sorted(rows)]
+
+
 def test_an_empty_file(spark, docs, tmp_path):
     token_file.write(docs([]), str(tmp_path / "none"), WORDS)
     assert token_file.read(spark, str(tmp_path / "none")).count() == 0

@@ -137,13 +137,13 @@ def write(documents: DataFrame, path: str, vocabulary: str, *, doc_id: str = "do
           end_id: int = 2) -> None:
     """Write the ids of all documents below ``path``, in ascending order of ids (null first).
 
-    Null and empty texts have the end id alone. Rows with equal ids stand side by side. An
-    empty table gives an empty file.
+    Null and empty texts have the end id alone. Rows with equal ids stand side by side,
+    by text. An empty table gives an empty file.
     """
     source = documents.select(F.col(f"`{doc_id}`").alias("doc_id"),
                               F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
