@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from yieldscope.session import scratch_path
 
-#: Rows of a block of the index, and queries that meet it at once.
-ROWS, QUERIES = 8192, 512
+#: Rows of a block of the index, queries packed together, and such packs that meet all blocks at once.
+ROWS, QUERIES, PACKS = 8192, 512, 16
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
@@ -119,38 +119,39 @@ def select(score: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([places(sure), places(equal)[: k - have]])
 
 
-def _numbers(n: int) -> Column:
-    return F.expr(f"sequence(0L, {n - 1}L)")
+def _sorted_rows(pdf) -> tuple:
+    """(ids, vectors as integers, how often each row stands in the table), by id and vector."""
+    values = np.stack([np.asarray(v, np.int64) for v in pdf["v"]])
+    ids = pdf["vec_id"].to_numpy(np.int64)
+    order = np.lexsort((*values.T[::-1], ids))
+    return ids[order], values[order], pdf["times"].to_numpy(np.int64)[order]
 
 
 def _index(pdf):
     import pandas as pd
 
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    values = np.stack([np.asarray(v, np.int64) for v in pdf["v"]])
+    ids, values, times = _sorted_rows(pdf)
     low, depth, bitmaps = slices(values)
     return pd.DataFrame({"block": pdf["block"].iloc[:1], "dims": [values.shape[1]], "n": [len(values)],
-                         "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "low": [low.tobytes()],
+                         "ids": [ids.tobytes()], "times": [times.tobytes()], "low": [low.tobytes()],
                          "depth": [depth.tobytes()], "slices": [bitmaps.tobytes()]})
 
 
 def _pack(pdf):
     import pandas as pd
 
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    values = np.stack([np.asarray(v, np.int64) for v in pdf["v"]])
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "dims": [values.shape[1]],
-                         "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [values.tobytes()]})
+    ids, values, times = _sorted_rows(pdf)
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "dims": [values.shape[1]], "q_ids": [ids.tobytes()],
+                         "q_times": [times.tobytes()], "q": [values.tobytes()]})
 
 
 def top_of_block(query_id: int, q: np.ndarray, ids: np.ndarray, low: np.ndarray, depth: np.ndarray,
                  bitmaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row places, scores) of the block's k best rows for a query, its own row left out."""
+    """(row places, scores) of the block's k best rows for a query, rows with its own id left out."""
     full = np.frombuffer(np.packbits(np.arange(bitmaps.shape[1] * 64) < len(ids), bitorder="little").tobytes(), np.uint64)
     score = add_slices(q, depth, bitmaps, full)
-    own = np.searchsorted(ids, query_id)
     allowed = full.copy()
-    if own < len(ids) and ids[own] == query_id:
+    for own in range(int(np.searchsorted(ids, query_id)), int(np.searchsorted(ids, query_id, side="right"))):
         allowed[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
     rows = select(score, allowed, k)
     bits = np.array([(s[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1) for s in score], np.int64)
@@ -162,55 +163,69 @@ def top_of_block(query_id: int, q: np.ndarray, ids: np.ndarray, low: np.ndarray,
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, vec_id: str = "vec_id",
-          vector: str = "embedding", scale: int = 1024, rows: int = ROWS, batch: int = QUERIES) -> DataFrame:
+          vector: str = "embedding", scale: int = 1024, rows: int = ROWS, batch: int = QUERIES, packs: int = PACKS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows but its own.
 
-    The index is written to the shared folder, block by block; blocks of queries meet
-    blocks of rows. Vectors that are null or hold anything but finite numbers take no
-    part, and neither do rows without id. An id names one row: of several rows with it
-    the one with the smallest vector stays. Vectors meet those of their own length only.
-    Scores are 64-bit integers; components must leave their sums room there.
+    The index is written to the shared folder, block by block, and read once for every
+    ``packs`` packs of queries, which are broadcast to it (``packs`` * ``batch`` vectors at
+    most); no block is shuffled again. Every row is indexed, whatever its id: rows that
+    share an id are rows of their own, and all rows with the query's id are its own. Rows
+    that repeat id and vector are held once, with their number, and ranked that often.
+    Vectors that are null or hold anything but finite numbers take no part, and neither do
+    rows without id. Vectors meet those of their own length only. Scores are 64-bit
+    integers; components must leave their sums room there.
     """
+    from pyspark.sql import Window
+
     spark = vectors.sparkSession
 
-    def clean(df):
-        return (df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), quantise(F.col(f"`{vector}`"), scale).alias("v"))
-                .where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
+    def clean(df, name):
+        (df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), quantise(F.col(f"`{vector}`"), scale).alias("v"))
+         .where("vec_id is not null and v is not null").groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+         .write.parquet(f"{path}/{name}"))
+        return spark.read.parquet(f"{path}/{name}")
 
     path = scratch_path(spark, "slices")
-    found = clean(vectors)
+    found = clean(vectors, "rows")
     blocks = max(1, -(-found.count() // rows))
-    (found.withColumn("block", F.pmod(F.xxhash64("vec_id", F.size("v")), F.lit(blocks)))
+    (found.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
      .groupBy("block", F.size("v").alias("size")).applyInPandas(
-        _index, "block bigint, dims int, n int, ids binary, low binary, depth binary, slices binary")
+        _index, "block bigint, dims int, n int, ids binary, times binary, low binary, depth binary, slices binary")
      .write.parquet(f"{path}/index"))
-    asked = clean(queries)
+    asked = clean(queries, "asked")
     parts = max(1, -(-asked.count() // batch))
-    (asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)))
+    (asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(parts)))
      .groupBy("part", F.size("v").alias("size")).applyInPandas(
-        _pack, "part bigint, dims int, q_ids binary, q binary").write.parquet(f"{path}/queries"))
-    index = spark.read.parquet(f"{path}/index").withColumn("part", F.explode(_numbers(parts)))
-    asks = spark.read.parquet(f"{path}/queries").withColumn("block", F.explode(_numbers(blocks)))
-    met = index.join(asks, ["block", "part", "dims"])
+        _pack, "part bigint, dims int, q_ids binary, q_times binary, q binary").write.parquet(f"{path}/packs"))
+    index, asks = spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/packs")
 
     def answer(batches):
         import pandas as pd
 
         for pdf in batches:
             for row in pdf.itertuples():
-                ids, low, depth = (np.frombuffer(x, np.int64) for x in (row.ids, row.low, row.depth))
+                ids, times, low, depth = (np.frombuffer(x, np.int64) for x in (row.ids, row.times, row.low, row.depth))
                 bitmaps = np.frombuffer(row.slices, np.uint64).reshape(int(depth.sum()), -(-len(ids) // 64))
-                asked, values = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q, np.int64).reshape(-1, row.dims)
+                asked, twice = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_times, np.int64)
                 out = []
-                for i, q in zip(asked.tolist(), values):
+                for i, n, q in zip(asked.tolist(), twice.tolist(), np.frombuffer(row.q, np.int64).reshape(-1, row.dims)):
                     at, score = top_of_block(i, q, ids, low, depth, bitmaps, k)
-                    out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at], "score": score}))
+                    out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at], "score": score, "times": n * times[at]}))
                 if out:
                     yield pd.concat(out)
 
-    best = met.mapInPandas(answer, "query_id bigint, vec_id bigint, score bigint")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
+
+    def best(df):
+        # the k first of those that stand several times are found among their k first copies
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    for first in range(0, parts, packs):
+        some = F.broadcast(asks.where((F.col("part") >= first) & (F.col("part") < first + packs)))
+        met = index.join(some, "dims").mapInPandas(answer, "query_id bigint, vec_id bigint, score bigint, times bigint")
+        copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("times", F.lit(k).cast("bigint")))))
+        best(copies.select("query_id", "vec_id", "score")).write.parquet(f"{path}/best/{first}")
+    told = spark.read.schema("query_id bigint, vec_id bigint, score bigint, rank int").parquet(
+        *[f"{path}/best/{first}" for first in range(0, parts, packs)])
+    # a query's rows may be in several packs, when its id stands in several rows
+    return best(told.drop("rank")).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
