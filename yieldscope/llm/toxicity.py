@@ -37,10 +37,11 @@ class Ftrl:
 
 @dataclass(frozen=True)
 class Model:
-    """Non-zero weights by place; place 2^BITS is the constant."""
+    """Non-zero weights by place (2^BITS is the constant), and the score of a text without evidence."""
 
     places: np.ndarray
     weights: np.ndarray
+    prior: float = 0.0
 
     def dense(self) -> np.ndarray:
         out = np.zeros((1 << BITS) + 1)
@@ -101,7 +102,8 @@ def weights(z: np.ndarray, n: np.ndarray, settings: Ftrl) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
           label: str = "toxic", sample: int = SAMPLE, settings: Ftrl = Ftrl()) -> Model:
     """A model of the labelled rows. Rows without id or label (0 or 1) take no part; of
-    several labels of an id the largest holds. Without any labels every score is 0.5."""
+    several labels of an id the largest holds. A text without evidence gets the share of label 1
+    as its score, held under 0.5, since no evidence is no verdict; without any labels it is 0."""
     chosen = (labels.select(F.col(doc_id).alias("id__"), F.col(label).cast("int").alias("y__"))
               .where("id__ is not null and y__ in (0, 1)").groupBy("id__").agg(F.max("y__").alias("y__"))
               .orderBy(F.xxhash64("id__"), "id__").limit(sample))
@@ -119,18 +121,23 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         order, y = ([v for b in held for v in b.column(i).to_pylist()] for i in (0, 1))
         turn = sorted(range(len(y)), key=lambda i: (order[i], y[i]))
         z, n = learn([(places[i], y[i]) for i in turn], settings)
-        # L1 is applied before anything comes to the driver
+        # L1 is applied before anything comes to the driver; place -1 holds the share of label 1
         at = np.flatnonzero(np.abs(z) > settings.l1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z[at]), pa.array(n[at])], names=["place", "z", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(sum(y) / len(y), z[at])),
+                                          pa.array(np.append(0, n[at]))], names=["place", "z", "n"])
 
     got = rows.repartition(1).mapInArrow(fit, "place bigint, z double, n double").toPandas()
+    if not len(got):
+        return Model(np.zeros(0, np.int64), np.zeros(0))
+    share, got = float(got["z"].iloc[0]), got.iloc[1:]
     z, n = got["z"].to_numpy(float), got["n"].to_numpy(float)
-    return Model(got["place"].to_numpy(np.int64), weights(z, n, settings))
+    return Model(got["place"].to_numpy(np.int64), weights(z, n, settings), min(share, 0.49))
 
 
 def score(documents: DataFrame, keep: list[Column], model: Model, *, text: str = "text") -> DataFrame:
-    """The kept columns with a score from 0 to 1. Null and empty texts get the constant's score."""
-    places, values = model.places, model.weights
+    """The kept columns with a score from 0 to 1. Texts without evidence, as null and empty ones,
+    get the share of label 1 that the model has seen, under 0.5."""
+    places, values, prior = model.places, model.weights, model.prior
 
     def make():
         dense = Model(places, values).dense()
@@ -142,7 +149,10 @@ def score(documents: DataFrame, keep: list[Column], model: Model, *, text: str =
                 found.append((t[some] << BITS) | p[some])
             found = np.unique(np.concatenate(found))
             total = np.bincount(found >> BITS, dense[found & ((1 << BITS) - 1)], len(offsets) - 1)
-            return 1 / (1 + np.exp(-np.clip(total + dense[-1], -35, 35)))
+            made = 1 / (1 + np.exp(-np.clip(total + dense[-1], -35, 35)))
+            if dense[-1] == 0:  # texts in which no weight stands
+                made[np.bincount(found >> BITS, minlength=len(made)) == 0] = prior
+            return made
 
         def work(offsets, data):
             return [np.concatenate([np.zeros(0), *(chunk(o, d) for _, o, d in texts.chunks(offsets, data))])]
