@@ -17,11 +17,11 @@ from yieldscope.session import scratch_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labels of those given.
 
-    A score of 0.5 is no evidence (no weights, as without labels, or none for a text): such documents stay.
+    Without evidence (no labels, or no weight in a text) the score is under 0.5 and documents stay.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, [texts.whole_row(docs), F.col("text")], model)
-    return scored.where("score <= 0.5").select("row__.*")
+    return scored.where("score < 0.5").select("row__.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
