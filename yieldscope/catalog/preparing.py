@@ -103,7 +103,7 @@ def s5(spark, sf):
 
 
 FINALS = ("step1.quantity", "step2.size")
-EQUI_ALPHA = 0.45
+EQUI_ALPHA = 0.6
 
 
 def _equi_sql(features: str = "features") -> str:

@@ -348,7 +348,7 @@ def m13_equi(spark, sf):
 @query("m13_mic")
 def m13(spark, sf):
     c = v.cleaned(spark, sf)
-    return mic(c.obs, c.rows, alpha=0.5).select("feature", r6("mic"), "grid")
+    return mic(c.obs, c.rows).select("feature", r6("mic"), "grid")
 
 
 @query("m14_strongest_features", f"""WITH {RHO_SQL}
