@@ -14,7 +14,7 @@ from yieldscope.llm import texts
 from yieldscope.llm.texts import worker_state  # noqa: F401  (used by those that encode)
 
 #: Bytes of text worked off at once, and pieces kept at most.
-GROUP, KEPT = 4 << 20, 150_000
+GROUP, KEPT = 4 << 20, 300_000
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
