@@ -3,7 +3,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
-from yieldscope.operators import correlate
+from yieldscope.operators import correlate, gram, split
+from yieldscope.operators import sums as sums_of
 
 
 def matrix(pairs, names):
@@ -48,3 +49,36 @@ def test_strongest_orders_by_absolute_value(planted):
     for method in ("spearman", "pearson"):
         top = [r["feature"] for r in correlate.strongest(obs, 400, 2, method).collect()]
         assert top == ["s.f1", "s.f3"]
+
+
+def test_blocks_of_columns_give_the_same_pairs(planted, monkeypatch):
+    obs, x, y = planted
+    whole = matrix(correlate.pearson(obs), list(obs.names))
+    ranks = matrix(correlate.spearman(obs, 400), ["target", *obs.names])
+    for size in (2, 3, 4):
+        monkeypatch.setattr(gram, "BLOCK", size)
+        monkeypatch.setattr(correlate, "BLOCK", size)
+        monkeypatch.setattr(gram, "HELD", 8 * size * size * 2)  # two block pairs in a pass
+        assert np.allclose(matrix(correlate.pearson(obs), list(obs.names)), whole)
+        assert np.allclose(matrix(correlate.spearman(obs, 400), ["target", *obs.names]), ranks)
+        some = correlate.spearman(obs, 400, heads=["target", "s.f4"])
+        assert {r["a"] for r in some.collect()} == {"target", "s.f4"} and some.count() == 14
+        z = np.column_stack([np.ones(len(x)), x, y])
+        assert np.allclose(gram.total(gram.grams(obs.df, split.hash_fold(3))).table, z.T @ z)
+        sums = gram.product_sums(obs.df, F.col("features")).toPandas()
+        assert len(sums) == 21 and np.allclose(sums["s"], (x.T @ x)[sums["i"], sums["j"]])
+
+
+def test_a_constant_column_has_no_correlation(build):
+    x = np.column_stack([np.full(50, 0.1), np.arange(50.0), np.arange(50.0) ** 2])
+    got = correlate.pearson(build(x, np.arange(50.0))).toPandas().set_index(["a", "b"])["r"]
+    assert np.isnan(got["s.f0", "s.f0"]) and np.isnan(got["s.f0", "s.f1"])
+    assert np.isclose(got["s.f1", "s.f2"], np.corrcoef(x[:, 1], x[:, 2])[0, 1])
+
+
+def test_arrays_of_many_partitions_are_added(spark):
+    rows = [(i % 3, [float(i), 1.0]) for i in range(200)]
+    parts = spark.createDataFrame(rows, "k int, v array<double>").repartition(40)
+    want = {k: [float(sum(range(k, 200, 3))), float(len(range(k, 200, 3)))] for k in range(3)}
+    assert {r["k"]: r["v"] for r in sums_of.merged(parts, ["k"]).collect()} == want
+    assert {k[0]: v.tolist() for k, v in sums_of.collected(parts, ["k"]).items()} == want

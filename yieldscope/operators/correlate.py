@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldscope.operators.gram import product_sums
+from yieldscope.operators.gram import BLOCK, product_blocks
 from yieldscope.operators.ranks import (
     attach_by_value, average_rank, centred_ranks, counts_before, rank_spots)
+from yieldscope.operators.sums import merged
+from yieldscope.session import scratch_path
 from yieldscope.sources.observations import Observations
 
 
@@ -40,36 +44,76 @@ def target_spearman(obs: Observations, rows: int, range_rows: int | None = None)
     return sums.join(F.broadcast(obs.dictionary()), "idx").select("feature", rho.alias("rho"), "n")
 
 
-def _correlations(sums: DataFrame, names: list[str], centred: bool,
+def _correlations(df: DataFrame, vector: Column, names: list[str], centred: bool,
                   heads: list[str] | None = None) -> DataFrame:
-    """Ordered pairs ``(a, b, r)`` with a among ``heads`` (default all) from product sums.
+    """Ordered pairs ``(a, b, r)`` with a among ``heads`` (default all) of the numbers in ``vector``.
 
-    Position 0 is the constant unless the columns are centred already.
+    Correlations are worked out where the blocks of products lie; the driver holds the
+    means and deviations, one of each for a column. The first number of the vector is a 1
+    unless the columns are centred already.
     """
-    cells = sums.toPandas()
-    width = int(cells["j"].max()) + 1
-    table = np.zeros((width, width))
-    table[cells["i"], cells["j"]] = cells["s"]
-    table = np.triu(table) + np.triu(table, 1).T
-    if not centred:
-        means = table[0] / table[0, 0]
-        table = (table - table[0, 0] * np.outer(means, means))[1:, 1:]
-    spread = np.sqrt(np.diag(table))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.clip(table / np.outer(spread, spread), -1.0, 1.0)
-    heads = names if heads is None else heads
-    place = {n: i for i, n in enumerate(names)}
-    flat = pd.DataFrame({"a": np.repeat(heads, len(names)), "b": np.tile(names, len(heads)),
-                         "r": r[[place[h] for h in heads]].ravel()})
-    spark = sums.sparkSession
-    out = spark.createDataFrame(flat, "a string, b string, r double")
-    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    spark, first = df.sparkSession, 0 if centred else 1
+    width = len(names) + first
+    blocks = merged(product_blocks(df, vector, width), ["part", "bi", "bj"])
+    path = scratch_path(spark, "products")  # read for the diagonals, then for the correlations
+    blocks.write.parquet(path)
+    blocks = spark.read.parquet(path)
+    own, sums = np.zeros(width), np.zeros(width)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the diagonal, and the row of sums, which the constant at position 0 gives
+        for batch in batches:
+            for i, j, v in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("v")):
+                columns = min(BLOCK, width - j * BLOCK)
+                block = v.values.to_numpy(zero_copy_only=False).reshape(-1, columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([j], pa.int32()), pa.array([np.diag(block) if i == j else None], pa.list_(pa.float64())),
+                     pa.array([block[0]], pa.list_(pa.float64()))], names=["bj", "own", "sums"])
+
+    for row in blocks.where("bi = bj or bi = 0").mapInArrow(edges, "bj int, own array<double>, sums array<double>").collect():
+        at = slice(row["bj"] * BLOCK, row["bj"] * BLOCK + len(row["sums"]))
+        if row["own"] is not None:
+            own[at] = row["own"]
+        if row["own"] is None or row["bj"] == 0:
+            sums[at] = row["sums"]
+    n = 1.0 if centred else own[0]
+    means = np.zeros(width) if centred else sums / max(n, 1.0)
+    spread = np.sqrt(np.maximum(own - n * means ** 2, 0.0))
+    # a column whose deviation is rounding noise has no correlation
+    known = spread > 1e-7 * np.sqrt(np.maximum(own, 1e-300)) if not centred else spread > 0
+    wanted = np.ones(width, bool) if heads is None else np.isin(np.array(["", *names][1 - first:]), heads)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, v in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("v")):
+                columns = min(BLOCK, width - j * BLOCK)
+                block = v.values.to_numpy(zero_copy_only=False).reshape(-1, columns)
+                a, b = i * BLOCK + np.arange(len(block)), j * BLOCK + np.arange(columns)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = np.clip((block - n * np.outer(means[a], means[b])) / np.outer(spread[a], spread[b]), -1.0, 1.0)
+                r[~known[a], :] = np.nan
+                r[:, ~known[b]] = np.nan
+                for x, y, value in ((a, b, r), (b, a, r.T)) if i != j else ((a, b, np.triu(r) + np.triu(r, 1).T),):
+                    keep = np.flatnonzero(wanted[x] & (x >= first))
+                    for s in range(0, len(keep), 64):  # 64 rows of the table at a time
+                        rows = keep[s:s + 64]
+                        right = np.flatnonzero(y >= first)
+                        flat = value[np.ix_(rows, right)].ravel()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(x[rows] - first, len(right)), pa.int32()),
+                             pa.array(np.tile(y[right] - first, len(rows)), pa.int32()),
+                             pa.array(flat, mask=np.isnan(flat))], names=["i", "j", "r"])
+
+    cells = blocks.mapInArrow(pairs, "i int, j int, r double")
+    table = spark.createDataFrame(list(enumerate(names)), "at int, name string")
+    left, right = table.toDF("i", "a"), table.toDF("j", "b")
+    return cells.join(F.broadcast(left), "i").join(F.broadcast(right), "j").select("a", "b", "r")
 
 
 def pearson(obs: Observations) -> DataFrame:
     """``(a, b, r)`` for every ordered pair of features, from one pass."""
     z = F.concat(F.array(F.lit(1.0)), F.col("features"))
-    return _correlations(product_sums(obs.df, z), list(obs.names), centred=False)
+    return _correlations(obs.df, z, list(obs.names), centred=False)
 
 
 def spearman(obs: Observations, rows: int, target: str = "target",
@@ -82,7 +126,7 @@ def spearman(obs: Observations, rows: int, target: str = "target",
     """
     spots = rank_spots(obs, rows, range_rows) if spots is None else spots
     ranks = centred_ranks(spots, rows)
-    return _correlations(product_sums(ranks, F.col("ranks")), [target, *obs.names], True, heads)
+    return _correlations(ranks, F.col("ranks"), [target, *obs.names], True, heads)
 
 
 def t_statistic(r: Column, n: Column) -> Column:

@@ -1,50 +1,85 @@
-"""Sums of products of all feature pairs: the one data pass behind every linear model."""
+"""Sums of products of all feature pairs: the one data pass behind every linear model.
+
+The p × p table is a block matrix: a partition adds up its block products, whole blocks
+are merged in two levels, and consumers read them where they lie. Only models on up to
+``MAX_WIDTH`` columns put a table together on the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WIDTH = 2_000   # the p × p table is the only thing that reaches the driver
+from yieldscope.operators.sums import collected, merged
+
+MAX_WIDTH = 2_000   # columns of a table that the driver puts together
+BLOCK = 512         # columns of a block
+HELD = 128 << 20    # bytes of block sums that a task holds
+
+
+def _block_pairs(width: int) -> list[tuple[int, int]]:
+    blocks = range(-(-width // BLOCK))
+    return [(i, j) for i in blocks for j in blocks if i <= j]
 
 
-def product_sums(df: DataFrame, vector: Column, part: Column | None = None) -> DataFrame:
-    """``(part, i, j, s)`` with ``s = Σ z_i z_j`` for i ≤ j, where z is ``vector``.
+def product_blocks(df: DataFrame, vector: Column, width: int, part: Column | None = None, parts: int = 1) -> DataFrame:
+    """``(part, bi, bj, v)`` for bi ≤ bj, a row for each block that one partition has summed.
 
-    Each partition adds up its own p × p table with one matrix product per Arrow
-    batch; only those tables are shuffled.
+    ``v`` is the product of two column blocks of ``vector`` (of ``width`` numbers), row by
+    row. Where the blocks of all ``parts`` are more than a task should hold, the rows are
+    read once for each share of the block pairs.
     """
-    source = df.select((F.lit(0) if part is None else part).cast("int").alias("part"),
-                       vector.alias("z"))
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            parts = batch.column("part").to_numpy(zero_copy_only=False)
-            z = batch.column("z").flatten().to_numpy(zero_copy_only=False)
-            z = z.reshape(batch.num_rows, -1)
-            for p in np.unique(parts):
-                rows = z[parts == p]
-                tables[int(p)] = tables.get(int(p), 0.0) + rows.T @ rows
-        for p, table in tables.items():
-            width = len(table)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(width, p, dtype=np.int32)),
-                pa.array(np.arange(width, dtype=np.int32)),
-                pa.array([table[i, i:] for i in range(width)], type=pa.list_(pa.float64())),
-            ], names=["part", "i", "upper"])
-
-    tables = source.mapInArrow(partial, "part int, i int, upper array<double>")
-    cells = tables.select("part", "i", F.posexplode("upper").alias("step", "s"))
-    return (cells.groupBy("part", "i", (F.col("i") + F.col("step")).alias("j"))
-            .agg(F.sum("s").alias("s")))
+    source = df.select((F.lit(0) if part is None else part).cast("int").alias("part"), vector.alias("z"))
+    pairs = _block_pairs(width)
+    share = max(1, HELD // (8 * BLOCK * BLOCK * parts))
+
+    def some(mine: list[tuple[int, int]]) -> DataFrame:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int, int], np.ndarray] = {}
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                group = batch.column("part").to_numpy(zero_copy_only=False)
+                z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for p in np.unique(group).tolist():
+                    rows = z[group == p]
+                    for i, j in mine:
+                        made = rows[:, i * BLOCK:(i + 1) * BLOCK].T @ rows[:, j * BLOCK:(j + 1) * BLOCK]
+                        held = sums.get((p, i, j))
+                        if held is None:
+                            sums[p, i, j] = made
+                        else:
+                            held += made
+            for (p, i, j), block in sums.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()),
+                     pa.array([block.ravel()], pa.list_(pa.float64()))], names=["part", "bi", "bj", "v"])
+
+        return source.mapInArrow(partial, "part int, bi int, bj int, v array<double>")
+
+    return reduce(DataFrame.unionByName, (some(pairs[at:at + share]) for at in range(0, len(pairs), share)))
+
+
+def vector_width(df: DataFrame, vector: Column) -> int:
+    """Numbers in the vectors of ``df``; 0 without rows."""
+    one = df.select(F.size(vector).alias("n")).first()
+    return one["n"] if one is not None else 0
+
+
+def product_sums(df: DataFrame, vector: Column, part: Column | None = None, parts: int = 1) -> DataFrame:
+    """``(part, i, j, s)`` with ``s = Σ z_i z_j`` for i ≤ j, where z is ``vector``."""
+    width = vector_width(df, vector)
+    blocks = merged(product_blocks(df, vector, width, part, parts), ["part", "bi", "bj"])
+    columns = F.least(F.lit(BLOCK), F.lit(width) - F.col("bj") * BLOCK)
+    cells = blocks.select("part", "bi", "bj", columns.alias("columns"), F.posexplode("v").alias("at", "s"))
+    return cells.select("part", (F.col("bi") * BLOCK + F.floor(F.col("at") / F.col("columns"))).cast("int").alias("i"),
+                        (F.col("bj") * BLOCK + F.col("at") % F.col("columns")).cast("int").alias("j"), "s").where("i <= j")
 
 
 @dataclass(frozen=True)
@@ -103,17 +138,17 @@ class Gram:
 def grams(df: DataFrame, part: Column | None = None) -> dict[int, Gram]:
     """Product sums per part, from rows with ``features`` and ``y``."""
     z = F.concat(F.array(F.lit(1.0)), F.col("features"), F.array(F.col("y").cast("double")))
-    one = df.select(F.size("features").alias("n")).first()
-    if one is not None and one["n"] + 2 > MAX_WIDTH:
-        raise ValueError(f"{one['n'] + 2} columns exceed the product table's bound; prescreen first")
-    rows = product_sums(df, z, part).toPandas()
-    width = int(rows["j"].max()) + 1 if len(rows) else 0
-    out = {}
-    for p, cells in rows.groupby("part"):
-        table = np.zeros((width, width))
-        table[cells["i"], cells["j"]] = cells["s"]
-        out[int(p)] = Gram(np.triu(table) + np.triu(table, 1).T)
-    return out
+    width = vector_width(df, z)
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} columns exceed the product table's bound; prescreen or screen first")
+    out: dict[int, np.ndarray] = {}
+    for (p, i, j), v in collected(product_blocks(df, z, width, part), ["part", "bi", "bj"]).items():
+        table = out.setdefault(p, np.zeros((width, width)))
+        columns = min(BLOCK, width - j * BLOCK)
+        block = v.reshape(-1, columns)
+        table[i * BLOCK:(i + 1) * BLOCK, j * BLOCK:(j + 1) * BLOCK] = block
+        table[j * BLOCK:(j + 1) * BLOCK, i * BLOCK:(i + 1) * BLOCK] = block.T
+    return {p: Gram(out[p]) for p in sorted(out)}
 
 
 def total(tables: dict[int, Gram]) -> Gram:
