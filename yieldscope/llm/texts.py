@@ -30,6 +30,16 @@ def worker_state(key: tuple, make: Callable[[], object]):
     return held.__dict__[key]
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the machine, which workers otherwise keep for their next task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(30))
@@ -195,6 +205,9 @@ def map_texts(df: DataFrame, keep: list[Column], text: Column,
             made = work(*raw(batch.column(batch.num_columns - 1)))
             made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
+            del made
+        del work
+        release()
 
     return source.mapInArrow(run, schema)
 

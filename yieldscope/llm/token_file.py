@@ -170,6 +170,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, *, doc_id: str = "do
                      pa.array([places], pa.list_(pa.int64())), pa.array([held], pa.binary())],
                     names=["shard", "page", "first", "n", "doc_ids", "counts", "block_starts", "blocks"])
                 number, before = number + 1, before + len(out)
+        del coder
+        texts.release()
 
     ordered.mapInArrow(run, f"shard int, page int, first bigint, n bigint, doc_ids array<{kind}>, "
                        "counts array<bigint>, block_starts array<bigint>, blocks binary").write.parquet(path)

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from yieldscope.llm import texts
 
 BITS = 20
-#: Labelled rows to train on at most, chosen by a hash of the id.
-SAMPLE = 32_000
+#: Labelled rows to train on at most, and places of all their features, chosen by a hash of the id.
+SAMPLE, PLACES = 32_000, 64_000_000
+#: Bytes of text that are cut into features at once.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ def _features() -> object:
 
     def work(offsets, data):
         places, bounds = [np.zeros(0, np.int64)], [0]
-        for _, o, d in texts.chunks(offsets, data):
+        for _, o, d in texts.chunks(offsets, data, CHUNK):
             parts = list(_grams(o, d))
             both = np.unique(np.concatenate([(t << BITS) | p for t, p in parts]))
             ends = np.searchsorted(both, np.arange(1, len(o)) << BITS)
@@ -109,24 +111,33 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
               .orderBy(F.xxhash64("id__"), "id__").limit(sample))
     rows = texts.map_texts(
         documents.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("id__")),
-        [F.reverse(F.col("id__").cast("string")).alias("order__"), F.col("y__")], F.col(f"`{text}`"), _features, "places array<int>")
+        [F.xxhash64("id__").alias("pick__"), F.reverse(F.col("id__").cast("string")).alias("order__"), F.col("y__")], F.col(f"`{text}`"), _features, "places array<int>")
 
     def fit(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        places, order, y, size = [], [], [], 0
+        for batch in batches:
+            lengths = batch.column(3).value_lengths().to_numpy()
+            ends = size + np.cumsum(lengths)
+            n = int(np.searchsorted(ends, PLACES, side="right")) if len(places) else max(1, int(np.searchsorted(ends, PLACES, side="right")))
+            # lists of Arrow stay as they are: rows are views of them
+            places += np.split(batch.column(3).flatten().to_numpy(), np.cumsum(lengths)[:-1])[:n] if len(lengths) else []
+            order += batch.column(1).to_pylist()[:n]
+            y += batch.column(2).to_pylist()[:n]
+            size = int(ends[-1]) if len(ends) else size
+            if n < len(lengths):
+                break
+        if not y:
             return
-        # lists of Arrow stay as they are: rows are views of them
-        places = [np.split(b.column(2).flatten().to_numpy(), np.cumsum(b.column(2).value_lengths().to_numpy())[:-1]) for b in held]
-        places = [row for part in places for row in part]
-        order, y = ([v for b in held for v in b.column(i).to_pylist()] for i in (0, 1))
         turn = sorted(range(len(y)), key=lambda i: (order[i], y[i]))
         z, n = learn([(places[i], y[i]) for i in turn], settings)
         # L1 is applied before anything comes to the driver; place -1 holds the share of label 1
         at = np.flatnonzero(np.abs(z) > settings.l1)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(sum(y) / len(y), z[at])),
                                           pa.array(np.append(0, n[at]))], names=["place", "z", "n"])
+        del places, z, n
+        texts.release()
 
-    got = rows.repartition(1).mapInArrow(fit, "place bigint, z double, n double").toPandas()
+    got = rows.repartition(1).sortWithinPartitions("pick__", "order__", "y__").mapInArrow(fit, "place bigint, z double, n double").toPandas()
     if not len(got):
         return Model(np.zeros(0, np.int64), np.zeros(0))
     share, got = float(got["z"].iloc[0]), got.iloc[1:]
@@ -155,7 +166,7 @@ def score(documents: DataFrame, keep: list[Column], model: Model, *, text: str =
             return made
 
         def work(offsets, data):
-            return [np.concatenate([np.zeros(0), *(chunk(o, d) for _, o, d in texts.chunks(offsets, data))])]
+            return [np.concatenate([np.zeros(0), *(chunk(o, d) for _, o, d in texts.chunks(offsets, data, CHUNK))])]
 
         return work
 
