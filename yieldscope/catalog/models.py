@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from yieldscope.catalog import views as v
+from yieldscope.catalog import solvers, views as v
 from yieldscope.catalog.preparing import DIMS, _database, embedded, r6
 from yieldscope.catalog.registry import query
 from yieldscope.operators import cluster, components, gram, linear, logistic, scale, split, trees
@@ -53,7 +53,7 @@ def m1(spark, sf):
         F.round(F.log("p"), 6).alias("size"))
 
 
-@query("m4_lasso_grid")
+@query("m4_lasso_grid", solvers.LASSO_GRID_SQL)
 def m4(spark, sf):
     obs = v.scaled(spark, sf)
     df = scale.standardize_column(obs.df, "y")
@@ -101,7 +101,7 @@ def m5_single(spark, sf):
         "feature", (F.round("coef", 6) + 0.0).alias("coef"))
 
 
-@query("m6_lasso_cv")
+@query("m6_lasso_cv", solvers.LASSO_CV_SQL)
 def m6(spark, sf):
     parts, names = _folded_grams(spark, sf)
     fit = linear.lasso_cv(parts, 10.0 ** np.linspace(-8, -1, 50))
@@ -146,13 +146,13 @@ def _history(spark, history, frame):
         r6("kfold_score"))
 
 
-@query("m8_step_forward")
+@query("m8_step_forward", solvers.STEP_FORWARD_SQL)
 def m8(spark, sf):
     parts, names = _folded_grams(spark, sf)
     return _history(spark, linear.step_forward(parts, names), linear.history_frame)
 
 
-@query("m9_step_forward_cv")
+@query("m9_step_forward_cv", solvers.STEP_FORWARD_CV_SQL)
 def m9(spark, sf):
     obs = _embedding_target(spark, sf)
     parts = gram.grams(scale.standardize_column(scale.standardize(obs).df, "y"),
@@ -198,23 +198,24 @@ def m26(spark, sf):
 
 # ---- components ----------------------------------------------------------------
 
-@query("m27_pca_scores")
+@query("m27_pca_scores", solvers.PCA_SQL)
 def m27(spark, sf):
     scores, _ = components.pca_scores(embedded(spark, sf))
     return scores.select("id", F.round(F.abs("pc1"), 4).alias("pc1"),
                          F.round(F.abs("pc2"), 4).alias("pc2"))
 
 
-@query("t10_explained_variance", f"""WITH {v.CLEAN_SQL}, c AS (SELECT abs(corr(quantity, load)) AS r FROM known)
-SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio FROM c
-UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM c""")
+@query("t10_explained_variance", solvers.EIGEN_SQL + """
+SELECT component, round(ratio, 6) AS ratio FROM eigen""")
 def t10(spark, sf):
-    obs = v.cleaned(spark, sf).obs.select(["step1.quantity", "step4.load"])
-    _, ratios = components.project(obs.df, F.col("features"), 2)
+    obs = v.cleaned(spark, sf).obs
+    _, ratios = components.project(obs.df, F.col("features"), len(obs.names))
     return components.scree(spark, ratios).select("component", r6("ratio"))
 
 
-@query("t11_component_count")
+@query("t11_component_count", solvers.EIGEN_SQL + """
+SELECT coalesce(min(component), 4) AS n_components
+FROM (SELECT component, sum(ratio) OVER (ORDER BY component) AS so_far FROM eigen) WHERE component >= 2 AND so_far > 0.8""")
 def t11(spark, sf):
     obs = v.cleaned(spark, sf).obs
     _, ratios = components.project(obs.df, F.col("features"), len(obs.names))
@@ -315,12 +316,12 @@ def classed(spark, sf):
     return boxed.with_df(split.stratified_fold(df, 5, c.rows))
 
 
-@query("m20_logistic_scores")
+@query("m20_logistic_scores", solvers.LOGISTIC_SQL)
 def m20(spark, sf):
     obs = scale.unit_columns(classed(spark, sf))
     rows = v.cleaned(spark, sf).rows
-    table = logistic.coefficient_table(spark, logistic.logistic(obs, rows, CLASSES), obs.names,
-                                       exponent=True)
+    table = logistic.coefficient_table(spark, logistic.logistic(obs, rows, CLASSES, max_iter=1000, tol=1e-13),
+                                       obs.names, exponent=True)
     return logistic.feature_scores(table, True, CLASSES).select(
         "feature", F.round("score", 4).alias("score"), F.round("signed", 4).alias("signed"))
 
