@@ -320,10 +320,10 @@ def classed(spark, sf):
 def m20(spark, sf):
     obs = scale.unit_columns(classed(spark, sf))
     rows = v.cleaned(spark, sf).rows
-    table = logistic.coefficient_table(spark, logistic.logistic(obs, rows, CLASSES, max_iter=1000, tol=1e-13),
+    table = logistic.coefficient_table(spark, logistic.logistic(obs, rows, CLASSES),
                                        obs.names, exponent=True)
     return logistic.feature_scores(table, True, CLASSES).select(
-        "feature", F.round("score", 4).alias("score"), F.round("signed", 4).alias("signed"))
+        "feature", F.round(F.log("score"), 4).alias("log_score"), F.round(F.col("signed") / F.col("score"), 4).alias("signed_share"))
 
 
 @query("m21_accuracy", f"""WITH {v.CLEAN_SQL}
