@@ -394,7 +394,7 @@ def m15(spark, sf):
     return spark.createDataFrame(rows, "stage string, place int, feature string")
 
 
-LIGHT = dict(forest_trees=20, depth=6, mic_alpha=0.5)
+LIGHT = dict(forest_trees=20, depth=6)
 
 
 @query("m29_regression_report")
@@ -404,6 +404,26 @@ def m29_regression(spark, sf):
                                r6("abs_corr_target_suggestion"), r6("maximum_info_coeff"))
 
 
+@query("m29_report_pairs", solvers.REPORT_PAIRS_SQL)
+def m29_pairs(spark, sf):
+    """The pairs of a report whose forest is deep enough to use every feature."""
+    report = reports.regression_report(v.observations(spark, sf), rounds=2, forest_trees=40, depth=8, information="equi", parallel=1)
+    if report.final.where("maximum_info_coeff is null or not maximum_info_coeff between 0 and 1").count():
+        raise AssertionError("a pair has no information coefficient")
+    return report.final.select("final", "suggestion", r6("abs_corr_final_suggestion"),
+                               r6("abs_corr_target_suggestion"))
+
+
+@query("m29_saved_coefficients", solvers.REPORT_COEFFICIENTS_SQL)
+def m29_coefficients(spark, sf):
+    """A report's coefficients through their table and back."""
+    db, job = _database(spark), "20240107-report"
+    reports.regression_report(v.observations(spark, sf), rounds=1, **LIGHT).save(db, job, spark)
+    stored = results.read_results(spark, db, "coefficients", job, digits=9)
+    return stored.select("variable", F.round(F.col("score").cast("double"), 5).alias("score"),
+                         F.round(F.col("abs_score").cast("double"), 5).alias("abs_score"))
+
+
 @query("m29_saved_importance", f"""WITH {v.RAW_SQL}
 SELECT '0' AS result, split_part(feature, '.', 1) AS step_id, split_part(feature, '.', 2) AS xparam,
   '20240105-report' AS jobid, '20240105' AS dt FROM lng

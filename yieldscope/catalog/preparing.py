@@ -241,7 +241,7 @@ def s13(spark, sf):
 
 # ---- preparation ---------------------------------------------------------------
 
-@query("p1_p2_feature_columns", f"""WITH {v.WIDE_SQL}, lng AS ({v._long("wide", v.FEATURES)})
+@query("p1_p2_feature_columns", f"""WITH {v.WIDE_SQL}, lng AS ({v.long_sql("wide", v.FEATURES)})
 SELECT feature, count(value) AS n FROM lng GROUP BY feature""")
 def p1(spark, sf):
     wide = v.wide(spark, sf)

@@ -135,7 +135,7 @@ wide AS (
   FROM orders JOIN per_order ON o_orderkey = l_orderkey)"""
 
 
-def _long(source: str, features) -> str:
+def long_sql(source: str, features) -> str:
     return " UNION ALL ".join(
         f"SELECT row_id, y, {i} AS idx, '{f}' AS feature, {f.split('.')[1]} AS value FROM {source}"
         for i, f in enumerate(features))
@@ -144,13 +144,13 @@ def _long(source: str, features) -> str:
 # every feature of every row with a response
 RAW_SQL = WIDE_SQL + f""",
 known AS (SELECT * FROM wide WHERE y IS NOT NULL),
-lng AS ({_long("known", FEATURES)})"""
+lng AS ({long_sql("known", FEATURES)})"""
 
 # imputed, varying features only
 CLEAN_SQL = WIDE_SQL + f""",
 known AS (SELECT * REPLACE (coalesce(acctbal, avg(acctbal) OVER ()) AS acctbal)
   FROM wide WHERE y IS NOT NULL),
-lng AS ({_long("known", VARYING)})"""
+lng AS ({long_sql("known", VARYING)})"""
 
 # z-scores with the population deviation
 SCALED_SQL = CLEAN_SQL + """,
