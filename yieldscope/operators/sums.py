@@ -44,8 +44,13 @@ def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, fields)
 
 
-def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``(*keys, v)``: the sum of the arrays ``v`` of each key, whatever the number of partitions."""
+def merged(parts: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """``(*keys, v)``: the sum of the arrays ``v`` of each key, whatever the number of partitions.
+
+    Where the caller knows that there are few ``partitions``, one level does.
+    """
+    if partitions is not None and partitions <= 4 * LANES:
+        return _added(parts, keys)
     lane = F.pmod(F.spark_partition_id(), F.lit(LANES))
     return _added(_added(parts.withColumn("lane", lane), [*keys, "lane"]), keys)
 
