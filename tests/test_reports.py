@@ -185,3 +185,12 @@ def test_no_row_is_lost_between_folds(build, n):
     one_sided = {p: g for p, g in parts.items() if p % 2 == 0}
     train, held = split_sides(one_sided)
     assert train.n + held.n == sum(g.n for g in one_sided.values()) and held.n > 0
+
+
+def test_a_measured_response_of_several_groups_is_no_class(spark, build, database):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(150, 3))
+    report = clustering_report(build(x, x[:, 0] + draw.normal(size=150), groups=["A", "B"] * 75))
+    assert report.code == "-5" and report.importance is None
+    report.save(database, "20240109-many", spark)
+    assert [r["result"] for r in spark.table(f"{database}.importance").where("jobid = '20240109-many'").collect()] == ["-5"]

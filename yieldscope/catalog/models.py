@@ -475,3 +475,31 @@ def m29_clustering(spark, sf):
                                        overrides={"iterations": 1, "max_cluster": 5}, **LIGHT)
     return report.final.select("final", "suggestion", r6("abs_corr_final_suggestion"),
                                r6("abs_corr_target_suggestion"), r6("maximum_info_coeff"))
+
+
+def _grouped(spark, sf):
+    """Observations of several groups whose response is one of three classes."""
+    obs = v.observations(spark, sf)
+    level = F.when(F.col("y") > 40, 2.0).when(F.col("y") > 0, 1.0).when(F.col("y").isNotNull(), 0.0)
+    return obs.with_df(obs.df.withColumn("y", level))
+
+
+@query("m29_clustering_groups", f"""WITH {v.WIDE_SQL},
+known AS (SELECT * REPLACE (coalesce(acctbal, avg(acctbal) OVER ()) AS acctbal, CASE WHEN y > 40 THEN 2.0 WHEN y > 0 THEN 1.0 ELSE 0.0 END AS y)
+  FROM wide WHERE y IS NOT NULL),
+lng AS ({v.long_sql("known", v.VARYING)}),
+rx AS (SELECT row_id, feature, rank() OVER (PARTITION BY idx ORDER BY value) + (count(*) OVER (PARTITION BY idx, value) - 1) / 2.0 AS r FROM lng),
+ry AS (SELECT row_id, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS r FROM known),
+tgt AS (SELECT feature AS suggestion, abs(corr(rx.r, ry.r)) AS ts FROM rx JOIN ry USING (row_id) GROUP BY feature)
+SELECT '0' AS result, suggestion, round(ts, 4) AS abs_corr_target_suggestion, '20240108-groups' AS jobid, '20240108' AS dt
+FROM tgt WHERE ts > (SELECT median(ts) FROM tgt)""")
+def m29_groups(spark, sf):
+    """The report of several groups through its three tables and back: suggestions and their correlation."""
+    db, job = _database(spark), "20240108-groups"
+    report = reports.clustering_report(_grouped(spark, sf), forest_trees=20, depth=6, information="equi")
+    report.save(db, job, spark)
+    for kind, rows in (("importance", report.importance), ("coefficients", report.coefficients)):
+        if results.read_results(spark, db, kind, job).count() != rows.count():
+            raise AssertionError(f"{kind} was not stored whole")
+    return results.read_results(spark, db, "final_report", job).select(
+        "result", "suggestion", "abs_corr_target_suggestion", "jobid", "dt")

@@ -16,6 +16,7 @@ from yieldscope.sources.observations import Observations, col
 # Result codes of a job.
 OK, EMPTY, TOO_FEW, NO_VARIANCE, NO_FEATURE, NOTHING_CHOSEN, EMPTY_REPORT = (
     "0", "-1", "-4", "-2", "-3", "1", "2")
+MANY_CLASSES = "-5"     # the response of several groups has too many values to be a class
 MIN_ROWS = 10
 
 
