@@ -52,7 +52,10 @@ def test_queries_have_the_columns_agreed(spark):
     agreed = {"op1": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2": "query_id rank vec_id score",
               "op3": "doc_id n_bytes n_removed n_spans kept_sha256", "op5": "doc_id n_shingles component_id",
               "op6": "doc_id start n_tokens ids_crc32", "op7": "doc_id n_words n_hit n_items items_sha256 contaminated",
-              "op9": "doc_id size text_crc32 law shard slot grown_shard", "op10": "doc_id held_out score predicted"}
+              "op9": "doc_id size text_crc32 law shard slot grown_shard", "op10": "doc_id held_out score predicted",
+              "op11": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+              "op12": "doc_id held_out lang_pred score",
+              "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"}
     for name, columns in agreed.items():
         query = next(q for q in catalog.QUERIES if q.startswith(f"{name}_"))
         found = catalog.QUERIES[query](spark, SF)
