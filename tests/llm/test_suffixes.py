@@ -56,3 +56,21 @@ def test_against_brute_force(docs, messy):
 
 def test_an_empty_table(docs):
     assert suffixes.remove_repeats(docs([])).count() == 0
+
+
+def test_passages_are_found_from_the_length_on(docs):
+    """Passages of 300 to 900 bytes that stand in two documents each: all of 400 bytes or more go, no shorter one."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(3, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    sizes = [*range(300, 400, 9), 398, 399, 400, 401, *range(402, 900, 31)]
+    passages = [text(300)[:n - 2] for n in sizes]
+    rows = []
+    for i, p in enumerate(passages):
+        for copy in (0, 1):  # marks beside the passage that differ, so that it ends where it ends
+            rows.append((2 * i + copy, f"{text(60)} {'#$'[copy]}<{p}>{'%&'[copy]} {text(60)}"))
+    rows += [(1000 + i, text(200)) for i in range(20)]
+    found = {r.doc_id: sum(s["end"] - s["first"] for s in r.spans) for r in suffixes.remove_repeats(docs(rows), length=400).collect()}
+    for i, n in enumerate(sizes):
+        assert found[2 * i] == found[2 * i + 1] == (n if n >= 400 else 0), n
+    assert not any(found[1000 + i] for i in range(20))
