@@ -292,6 +292,23 @@ def m18(spark, sf):
     return cluster.best_k(cluster.search_k(p, p.count(), rounds=3, max_cluster=8))
 
 
+@query("m18_best_k_euclidean", f"""WITH {v.USER_DAYS_SQL}
+SELECT CAST(count(DISTINCT row_id // 100000 % 3) AS INTEGER) AS k FROM user_days""")
+def m18_euclidean(spark, sf):
+    p = points(spark, sf).persist()
+    try:
+        rows = p.count()
+        found = cluster.search_k(p, rows, rounds=3, max_cluster=8, metric="euclidean").collect()
+        # the bounds by the quadtree hold the exact value where the rows are few enough to have it
+        fit = cluster.kmeans(p, 3, starts=3)
+        (low, high), = cluster.silhouette_bounds(p, [fit])
+        if rows <= cluster.EXACT_ROWS and not low - 1e-9 <= cluster.silhouettes(p, [fit], rows, "euclidean")[0] <= high + 1e-9:
+            raise AssertionError("the bounds do not hold the silhouette")
+        return cluster.best_k(spark.createDataFrame(found, "iteration int, k int, silhouette double"))
+    finally:
+        p.unpersist()
+
+
 @query("m23_cluster_target")
 def m23(spark, sf):
     obs = v.cleaned(spark, sf).obs
