@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -60,3 +61,35 @@ def test_few_mentions_prove_nothing_and_an_empty_table(docs):
     few = privacy.disclosures(docs([(1, "ann@x.org zorblat"), (2, "nothing here")]))
     assert few.where(F.size("terms") > 0).count() == 0
     assert privacy.disclosures(docs([])).count() == 0
+
+
+def degrees(rows, entity, near=120, prior=0.5):
+    """Term to degree for one e-mail address, counted document by document."""
+    words = lambda x: {w.lower() for w in re.findall(r"[^\W\d_][^\W_'-]*(?:['-]*[^\W_]*)*", x) if len(w) > 2}
+    holders = [t for _, t in rows if entity in t]
+    p = len(holders) / len(rows)
+    out = {}
+    for term in set().union(*map(words, holders)) - words(entity):
+        n_t = sum(term in words(t) for _, t in rows)
+        out[term] = math.log(((len([t for t in holders if term in words(t)]) + prior * p) / (n_t + prior)) / p) / math.log(1 / p)
+    return out
+
+
+def test_terms_against_plain_counts_at_every_count(docs):
+    """Rare terms beside an entity of one, two or five documents become spans, common words do not."""
+    draw = random.Random(9)
+    common = ["morning", "river", "walked", "house", "yellow", "letter", "window", "market"]
+    phrase = lambda: " ".join(draw.sample(common, 4))
+    rows = [(1, f"{phrase()} quillon ann@x.org {phrase()}"), (2, f"{phrase()} vortane bob@y.org {phrase()}"),
+            (3, f"{phrase()} vortane bob@y.org {phrase()}")]
+    rows += [(4 + i, f"{phrase()} meldrin {phrase()} cat@z.org") for i in range(5)]
+    rows += [(9 + i, f"{phrase()} {'meldrin' if i % 2 else 'quillon'} {phrase()}") for i in range(2)]
+    rows += [(100 + i, f"{phrase()} {phrase()}") for i in range(400)]
+    got = {r.doc_id: r for r in privacy.disclosures(docs(rows)).collect()}
+    for i, entity in ((1, "ann@x.org"), (2, "bob@y.org"), (5, "cat@z.org")):
+        want = {t: d for t, d in degrees(rows, entity).items() if d >= 0.75}
+        assert {t.term: t.removed for t in got[i].terms} == {t: d >= 0.95 for t, d in want.items()}
+        assert set(want) <= {"quillon", "vortane", "meldrin"}
+    assert {t.term for t in got[1].terms} == {"quillon"} and {t.term for t in got[3].terms} == {"vortane"}
+    assert {t.term for t in got[6].terms} == {"meldrin"}
+    assert all(not got[i].terms for i, _ in rows if i >= 9)

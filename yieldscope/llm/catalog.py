@@ -197,13 +197,13 @@ words AS MATERIALIZED (
     SELECT r, entity, s::BIGINT AS start, (s + length(hit))::BIGINT AS fin, lower(hit) AS term FROM placed p
     WHERE (s > f OR f = 0) AND (s + length(hit) < t OR t = n)
       AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.start < p.s + length(p.hit) AND p.s < b.fin)),
-joint AS (SELECT entity, term, count(DISTINCT r) AS n_et FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+joint AS (SELECT entity, term, count(DISTINCT r) AS n_et FROM words GROUP BY ALL),
 ent AS (SELECT kind || ':' || value AS entity, count(DISTINCT r) AS n_e FROM base GROUP BY ALL),
 df AS (SELECT term, count(*) AS n_t FROM (
            SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{N}}''-]{{2,}}'))) AS term FROM d) GROUP BY ALL),
 revealing AS (
     SELECT entity, term FROM joint JOIN ent USING (entity) JOIN df USING (term), (SELECT count(*) AS total FROM d)
-    WHERE n_e < total AND log2(total * n_et / (n_t * n_e)) / log2(total / n_e) >= 0.75),
+    WHERE n_e < total AND (n_et + 0.5 * n_e / total) / (n_t + 0.5) >= (n_e / total) ** 0.25),
 spans AS (
     SELECT r, kind, start, fin FROM base UNION ALL
     SELECT DISTINCT r, 'term', start, fin FROM words JOIN revealing USING (entity, term)),

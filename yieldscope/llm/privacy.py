@@ -3,13 +3,16 @@
 Base spans (e-mail, ip, card, phone) are found by pattern and checked. Their values are
 the protected entities. A term that stands near an entity discloses it to the degree
 
-    PMI(term; entity) / IC(entity),   PMI = log2(N * N_et / (N_t * N_e)),  IC = log2(N / N_e)
+    log2(P(entity | term) / P(entity)) / log2(1 / P(entity))
+
+    P(entity) = N_e / N,   P(entity | term) = (N_et + prior * P(entity)) / (N_t + prior)
 
 where N counts documents: all, those with the entity, those with the term anywhere, those
-with the term near the entity. The degree is 1 for a term that occurs with the entity
-only. Terms near an entity that disclose it to ``generalise`` or more become spans too:
-they are replaced by their kind of word, or removed at ``remove`` or more. Terms near
-fewer than ``support`` documents' mentions of an entity prove nothing and stay.
+with the term near the entity. The estimate given the term is drawn to P(entity) with the
+weight of ``prior`` documents, so every pair is scored, whatever its count, and the degree
+nears 1 as documents gather that have the term with the entity only. Terms near an entity
+that disclose it to ``generalise`` or more become spans too: they are replaced by their
+kind of word, or removed at ``remove`` or more.
 
 Everything is DataFrame expressions: no Python runs on the executors.
 """
@@ -88,7 +91,7 @@ def base_spans(text: Column) -> Column:
 
 
 def disclosures(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", generalise: float = 0.75,
-                remove: float = 0.95, support: int = 3, near: int = NEAR, keep_text: bool = True) -> DataFrame:
+                remove: float = 0.95, prior: float = 0.5, near: int = NEAR, keep_text: bool = True) -> DataFrame:
     """doc_id, text, base (kind, start, end, value) and terms (start, end, term, removed) of every row.
 
     Null texts are empty. Without entities there are no terms. Rows are told apart by
@@ -121,13 +124,13 @@ def disclosures(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
              .select("row", "entity", "term", "start", "end"))
     words.write.parquet(f"{path}/words")
     words = spark.read.parquet(f"{path}/words")
-    joint = words.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(
-        F.col("n_et") >= support)
+    joint = words.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     entities = found.select("row", F.explode(F.array_distinct(F.transform(
         "base", lambda e: F.concat_ws(":", e["kind"], e["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = (source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
              .groupBy("term").agg(F.count("*").alias("n_t")))
-    degree = (F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(total)) / F.col("n_e")))
+    share = F.col("n_e") / F.lit(float(total))
+    degree = F.log2((F.col("n_et") + prior * share) / ((F.col("n_t") + prior) * share)) / -F.log2(share)
     revealing = (joint.join(entities, "entity").join(terms, "term").where(F.col("n_e") < total)
                  .select("entity", "term", degree.alias("degree")).where(F.col("degree") >= generalise))
     spans = (words.join(revealing, ["entity", "term"]).groupBy("row", "start", "end", "term")
