@@ -21,10 +21,10 @@ def expected(x, y):
 
 
 @pytest.mark.parametrize("range_rows", [None, 100])
-@pytest.mark.parametrize("cells", [None, 0])
+@pytest.mark.parametrize("cells", [None, 0, 100])
 def test_rank_spots_match_pandas(skewed, monkeypatch, range_rows, cells):
     obs, x = skewed
-    if cells is not None:                      # forces the hot / cold join
+    if cells is not None:                      # forces the hot / cold join, salted or broadcast
         monkeypatch.setattr(ranks, "BROADCAST_CELLS", cells)
         monkeypatch.setattr(ranks, "HOT_SHARE", 10)
     got = ranks.rank_spots(obs, 900, range_rows).orderBy("row_id").toPandas()
@@ -86,3 +86,54 @@ def test_textual_keys_are_hashed(spark):
     wide = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "unit string, y double, `s.p` double")
     keys = [r.row_id for r in from_wide(wide, "y", row_id="unit").df.collect()]
     assert len(set(keys)) == 2 and None not in keys
+
+
+def test_text_ranks_in_range_partitions(spark, monkeypatch):
+    """One group holds half the rows, a value a third of them; ties, nulls, several partitions."""
+    draw = np.random.default_rng(5)
+    rows = [("a" if i % 2 else f"g{i % 7}", "same" if i % 3 == 0 else f"w{draw.integers(0, 400):03d}", i) for i in range(1500)]
+    frame = pd.DataFrame(rows, columns=["g", "t", "i"])
+    frame.loc[[4, 8], "t"] = None
+    frame.loc[[9, 12], "g"] = None
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "g string, t string, i int")
+    want = frame.groupby("g")["t"].rank(method="average")
+    monkeypatch.setattr(ranks, "BROADCAST_CELLS", 1000)
+    for range_rows in (None, 60):
+        got = ranks.average_ranks(df, "t", ["g"], range_rows=range_rows).toPandas().set_index("i")["rank"].sort_index()
+        assert len(got) == 1500 and np.allclose(got, want, equal_nan=True)
+    placed = ranks.counts_before(df, ["g"], "t", 1500, range_rows=60)
+    plain = ranks.counts_before(df, ["g"], "t", 1500)
+    assert sorted(map(str, placed.collect())) == sorted(map(str, plain.select(*placed.columns).collect()))
+    largest = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < placed.count() / 2
+    empty = ranks.average_ranks(df.filter("i < 0"), "t", ["g"], range_rows=60)
+    assert empty.count() == 0 and empty.columns == ["g", "t", "i", "rank"]
+
+
+def test_many_classes_are_joined_with_hot_ones_apart(spark, monkeypatch):
+    from yieldscope.operators import scale
+
+    texts = [None if i % 50 == 0 else "hot" if i % 2 else f"c{i * 7919 % 311:03d}" for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    codes = {t: k for k, t in enumerate(sorted(set(texts) - {None}))}
+    plain = {r["i"]: r["label"] for r in scale.label_encode(df, "t").collect()}
+    monkeypatch.setattr(scale, "CLASS_LIMIT", 10)
+    monkeypatch.setattr(ranks, "BROADCAST_CELLS", 100)
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40)
+    cut = {r["i"]: r["label"] for r in scale.label_encode(df, "t").collect()}
+    assert plain == cut == {i: codes[t] for i, t in enumerate(texts) if t is not None}
+
+
+def test_hot_values_of_many_features_are_dealt_evenly(build, monkeypatch):
+    """1,200 features, one value on half the rows of each."""
+    draw = np.random.default_rng(8)
+    x = draw.integers(0, 1000, size=(200, 1200)).astype(float)
+    x[::2] = 500.0
+    obs = build(x, draw.normal(size=200))
+    monkeypatch.setattr(ranks, "BROADCAST_CELLS", 100_000)
+    got = ranks.rank_spots(obs, 200).orderBy("row_id").toPandas()
+    y = obs.df.orderBy("row_id").toPandas()["y"]
+    assert np.allclose((np.array(got["spots"].tolist()) + 1) / 2, expected(x, y))
+    shares = ranks.salted(obs.long()).filter("value = 500").groupBy("idx", "__salt").count()
+    assert shares.agg(F.max("count")).first()[0] < 25          # 100 or more without salt
+    assert shares.select("__salt").distinct().count() == ranks.SALTS

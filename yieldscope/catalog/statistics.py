@@ -194,7 +194,7 @@ def a12(spark, sf):
   + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS rank FROM part""")
 def w1(spark, sf):
     parts = v.table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
-    return ranks.ranked(parts, "p_size", by=["p_brand"]).drop("p_size")
+    return ranks.average_ranks(parts, "p_size", by=["p_brand"]).drop("p_size")
 
 
 @query("w2_average_rank_descending", """WITH s AS (SELECT c_mktsegment, c_nationkey, count(*) AS n

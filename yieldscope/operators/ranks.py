@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from yieldscope.session import scratch_path
 from yieldscope.sources.observations import Observations
 
 RANGE_ROWS = 4_000_000        # distinct values one sorting task is meant to take
 BOUND_CELLS = 2_000_000       # range bounds kept on the driver, all columns together
 BROADCAST_CELLS = 1_000_000   # largest value table sent to every executor
 HOT_SHARE = 1_000             # a value with more than 1/1000 of the rows is hot
+WIDE_SHARE = 32               # the same where hot values are too many to broadcast
+SALTS = 32                    # tasks that share the rows of such a value
 
 
 def _value_ranges(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
@@ -61,8 +65,11 @@ def counts_before(df: DataFrame, keys: Sequence[str], value: str, rows_per_key:
     """
     keys = list(keys)
     tallies = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *extra)
-    ranges = math.ceil(rows_per_key / (range_rows or RANGE_ROWS))
-    if ranges <= 1 or not isinstance(df.schema[value].dataType, T.NumericType):
+    range_rows = range_rows or RANGE_ROWS
+    ranges = math.ceil(rows_per_key / range_rows)
+    if ranges > 1 and not isinstance(df.schema[value].dataType, T.NumericType):
+        return _before_by_partitions(tallies, keys, value, range_rows)
+    if ranges <= 1:
         earlier = (W.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
                    .rowsBetween(W.unboundedPreceding, -1))
         return tallies.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
@@ -94,6 +101,34 @@ def counts_before(df: DataFrame, keys: Sequence[str], value: str, rows_per_key:
             .drop("__range", "__offset", "__key"))
 
 
+def _before_by_partitions(tallies: DataFrame, keys: list[str], value: str, range_rows: int) -> DataFrame:
+    """``tallies`` with ``before``, for values of any type that sorts, in range partitions.
+
+    Partitions run along (keys, value), so a key that holds most of the values is cut
+    as well; what a key has in earlier partitions is one number for each of them. They
+    are written, so that a recomputed sample cannot move their bounds.
+    """
+    spark, path = tallies.sparkSession, scratch_path(tallies.sparkSession, "ranges")
+    tallies.write.parquet(f"{path}/tallies")
+    tallies = spark.read.parquet(f"{path}/tallies")
+    parts = max(1, math.ceil(tallies.count() / range_rows))
+    tallies.repartitionByRange(parts, *keys, value).withColumn(
+        "__range", F.spark_partition_id()).write.parquet(f"{path}/ranged")
+    within = spark.read.parquet(f"{path}/ranged")
+    earlier_ranges = (W.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
+                      .rowsBetween(W.unboundedPreceding, -1))
+    offsets = within.groupBy(*keys, "__range").agg(F.sum("cnt").alias("__size")).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__at"),
+        F.coalesce(F.sum("__size").over(earlier_ranges), F.lit(0)).alias("__offset"))
+    earlier = (W.partitionBy(*keys, "__range").orderBy(value)
+               .rowsBetween(W.unboundedPreceding, -1))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys],
+                  F.col("__range") == F.col("__at"))
+    return (within.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
+            .join(offsets, same).withColumn("before", F.col("before") + F.col("__offset"))
+            .select(*tallies.columns, "before"))
+
+
 def average_rank() -> Column:
     """Rank with ties averaged, from ``before`` and ``cnt``."""
     return F.col("before") + (F.col("cnt") + 1) / 2
@@ -109,24 +144,53 @@ def ranked(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool =
     return df.withColumn(alias, rank + (F.count(F.lit(1)).over(peers) - 1) / 2)
 
 
+def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), alias: str = "rank",
+                  range_rows: int | None = None) -> DataFrame:
+    """``ranked``, ascending, for tables of any size, with no group or value held by one task.
+
+    Rows whose value or group is null have no rank.
+    """
+    on = [*by, value]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    rows = df.filter(known).count()
+    table = counts_before(df.filter(known).select(*on), by, value, rows, range_rows=range_rows)
+    placed = attach_by_value(df.filter(known), table.select(*on, "cnt", average_rank().alias(alias)),
+                             on, rows, rows)
+    return placed.drop("cnt").unionByName(
+        df.filter(~known).withColumn(alias, F.lit(None).cast("double")))
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """Rows dealt to ``__salt`` 0 to SALTS - 1 by their content, the same when recomputed."""
+    return df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+
+
+def repeated(table: DataFrame) -> DataFrame:
+    """Each row once for every ``__salt``."""
+    return table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def attach_by_value(long: DataFrame, table: DataFrame, keys: Sequence[str], rows: int,
                     cells: int) -> DataFrame:
     """Join the per-value ``table`` back to the rows it was computed from.
 
     ``rows`` per key and ``cells`` in all bound the table. A small table is
     broadcast. Otherwise the values holding more than 1/1000 of the rows (at most
-    1000 per key) are broadcast and the rest is a shuffle join without hot keys.
+    1000 per key) are broadcast and the rest is a shuffle join without hot keys. With
+    too many keys for that, values of more than 1/32 of the rows are looked up salted.
     """
     on = list(keys)
     if cells <= BROADCAST_CELLS:
         return long.join(F.broadcast(table), on)
-    hot = table.filter(F.col("cnt") > max(1, rows // HOT_SHARE)).withColumn("__hot", F.lit(True))
-    if cells // max(1, rows) * HOT_SHARE <= BROADCAST_CELLS:
-        hot = F.broadcast(hot)
-    marks = long.join(hot.select(*on, "__hot"), on, "left")
-    cold_part = marks.filter("__hot IS NULL").drop("__hot").join(
-        table.filter(F.col("cnt") <= max(1, rows // HOT_SHARE)), on)
-    hot_part = long.join(hot.drop("__hot"), on)
+    wide = cells // max(1, rows) * HOT_SHARE > BROADCAST_CELLS
+    cut = max(1, rows // (WIDE_SHARE if wide else HOT_SHARE))
+    hot, cold = table.filter(F.col("cnt") > cut), table.filter(F.col("cnt") <= cut)
+    if wide:
+        met, dealt, by = salted(long), repeated(hot), [*on, "__salt"]
+    else:
+        met, dealt, by = long, F.broadcast(hot), on
+    cold_part = met.join(dealt.select(*by), by, "left_anti").drop("__salt").join(cold, on)
+    hot_part = met.join(dealt, by).drop("__salt")
     return cold_part.unionByName(hot_part)
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from yieldscope.functions.scalars import array_of
 from yieldscope.operators.profile import moments
-from yieldscope.operators.ranks import row_positions
+from yieldscope.operators.ranks import attach_by_value, row_positions
 from yieldscope.sources.observations import Observations
 
-CLASS_LIMIT = 1_000_000   # label tables above this size are joined by shuffle
+CLASS_LIMIT = 1_000_000   # label tables above this size are joined by shuffle, hot classes apart
 
 
 def affine(obs: Observations, shift, scale) -> Observations:
@@ -64,7 +64,11 @@ def label_classes(df: DataFrame, name: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, name: str) -> DataFrame:
-    """Add ``label``, the sorted-order code of a text or numeric column."""
+    """Add ``label``, the sorted-order code of a text or numeric column; rows without class go."""
     classes = label_classes(df, name)
-    small = classes.limit(CLASS_LIMIT + 1).count() <= CLASS_LIMIT
-    return df.join(F.broadcast(classes) if small else classes, name)
+    if classes.limit(CLASS_LIMIT + 1).count() <= CLASS_LIMIT:
+        return df.join(F.broadcast(classes), name)
+    known = df.filter(F.col(name).isNotNull())
+    sizes = known.groupBy(name).agg(F.count(F.lit(1)).alias("cnt"))
+    rows = known.count()
+    return attach_by_value(known, classes.join(sizes, name), [name], rows, rows).drop("cnt")
