@@ -45,6 +45,38 @@ def test_quartiles_are_interpolated(skewed, range_rows, monkeypatch):
     assert np.allclose(got[["q25", "q50", "q75"]], want)
 
 
+@pytest.mark.parametrize("accuracy", [20, 60])
+def test_quartiles_from_brackets(skewed, accuracy, monkeypatch):
+    obs, x = skewed
+    monkeypatch.setattr(profile, "ACCURACY", accuracy)
+    got = profile.quartiles(obs.long(), "idx", 900).orderBy("idx").toPandas()
+    assert np.allclose(got[["q25", "q50", "q75"]], np.quantile(x, [0.25, 0.5, 0.75], axis=0).T)
+
+
+def test_bracketed_quantiles_of_uneven_keys(spark):
+    """Nulls, keys of few rows and none, outer and overlapping shares, values that fill a bracket."""
+    draw = np.random.default_rng(2)
+    columns = {0: draw.normal(size=30_000), 1: draw.integers(0, 50, 25_000).astype(float),
+               2: draw.normal(size=7), 3: np.where(draw.random(40_000) < 0.6, 1.5, draw.normal(size=40_000)), 4: np.array([3.0])}
+    frame = pd.DataFrame([(k, float(v)) for k, c in columns.items() for v in c], columns=["idx", "value"])
+    long = spark.createDataFrame(frame).repartition(6).unionByName(
+        spark.sql("SELECT 1L AS idx, CAST(NULL AS DOUBLE) AS value UNION ALL SELECT 5L, NULL"))
+    shares = {"top": 1.0, "low": 0.0, "a": 0.3, "b": 0.3005, "c": 0.95, "edge": 0.0005}
+    got = profile.quantiles(long, "idx", 40_000, shares).orderBy("idx").toPandas()
+    assert list(got.columns) == ["idx", *shares] and list(got["idx"]) == [0, 1, 2, 3, 4]
+    for k, c in columns.items():
+        assert np.allclose(got.loc[k, list(shares)].astype(float), np.quantile(c, list(shares.values())))
+
+
+def test_only_values_in_brackets_are_kept(spark):
+    long = spark.range(200_000).select((F.col("id") % 2).alias("idx"), (F.col("id") * 7919 % 200_003).cast("double").alias("value"))
+    cells, totals = profile._bracketed(long, "idx", 100_000, [0.25, 0.5, 0.75])
+    assert cells.count() < 2_000 and totals.count() == 2
+    assert cells.agg(F.sum("cnt")).first()[0] == 200_000
+    want = long.toPandas().groupby("idx")["value"].quantile([0.25, 0.5, 0.75]).unstack()
+    assert np.allclose(profile.quartiles(long, "idx", 100_000).orderBy("idx").toPandas()[["q25", "q50", "q75"]], want)
+
+
 def test_describe_exact_and_approximate(skewed):
     obs, x = skewed
     got = profile.describe(obs, 900).toPandas().set_index("feature").loc[list(obs.names)]
