@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from yieldscope.sources.observations import Observations
 
-ACCURACY = 2_000   # of the sketches that bracket quantiles; about 3/2000 of a key's rows are in a bracket
+ACCURACY = 2_000   # of the sketches that bracket quantiles; a bracket holds about 4/ACCURACY of a key's rows
 FEW_ROWS = 10      # keys of fewer rows than this times ACCURACY need no bracket
 
 
