@@ -144,3 +144,10 @@ def test_dataset_shape_and_groups(spark, build):
     x = np.ones((12, 1))
     assert profile.single_group(build(x, [1.0] * 12))
     assert not profile.single_group(build(x, [1.0] * 12, groups=["A", "B"] * 6))
+
+
+def test_rounding_noise_is_no_spread(spark):
+    stats = spark.createDataFrame([(0, 9, 0, 7.0, 1e-16, 7.0, 7.0), (1, 9, 0, 7.0, 0.5, 6.0, 8.0), (2, 0, 9, None, None, None, None)],
+                                  "idx int, n bigint, nulls bigint, mean double, std double, lo double, hi double")
+    flags = prepare.feature_flags(stats).orderBy("idx").collect()
+    assert [r["constant"] for r in flags] == [True, False, True] and [r["usable"] for r in flags] == [False, True, False]
