@@ -30,3 +30,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() == 5
+
+
+def test_correlations_are_worked_out_once(spark):
+    from yieldscope.catalog import preparing
+    plan = preparing.rho(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan

@@ -169,3 +169,22 @@ def test_hot_values_of_many_features_are_dealt_evenly(build, monkeypatch):
     shares = ranks.salted(obs.long()).filter("value = 500").groupBy("idx", "__salt").count()
     assert shares.agg(F.max("count")).first()[0] < 25          # 100 or more without salt
     assert shares.select("__salt").distinct().count() == ranks.SALTS
+
+
+def test_ranges_are_counted_from_the_plain_rows(spark):
+    draw = np.random.default_rng(21)
+    value = np.where(draw.random(2000) < 0.3, 5.0, draw.integers(0, 700, 2000))
+    plain = spark.createDataFrame([(i % 2, float(x)) for i, x in enumerate(value)], "idx int, value double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    dear = plain.mapInArrow(counted, "idx int, value double")
+    want = ranks.counts_before(plain, ["idx"], "value", 2000).orderBy("idx", "value").collect()
+    got = ranks.counts_before(dear, ["idx"], "value", 2000, range_rows=150, n_keys=2, plain=plain).orderBy("idx", "value")
+    got = [tuple(r) for r in got.select("idx", "value", "cnt", "before").collect()]
+    assert got == [tuple(r) for r in want]
+    assert read.value <= 2 * 2000       # once for the table, once more for the order asked for here
