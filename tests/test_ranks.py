@@ -188,3 +188,23 @@ def test_ranges_are_counted_from_the_plain_rows(spark):
     got = [tuple(r) for r in got.select("idx", "value", "cnt", "before").collect()]
     assert got == [tuple(r) for r in want]
     assert read.value <= 2 * 2000       # once for the table, once more for the order asked for here
+
+
+def test_the_table_of_values_is_worked_out_once(spark, monkeypatch):
+    """Hot and other values are read from one written table."""
+    monkeypatch.setattr(ranks, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(ranks, "HOT_SHARE", 10)
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            worked_out.add(len(batch))
+            yield batch
+
+    rows = spark.range(400).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).cast("double").alias("value"))
+    table = rows.groupBy("value").agg(F.count(F.lit(1)).alias("cnt")).mapInPandas(counted, "value double, cnt bigint")
+    for share in (1, 10):  # 1: hot values are too few to tell, 10: those of a tenth are told apart
+        worked_out.value = 0
+        monkeypatch.setattr(ranks, "HOT_SHARE", share)
+        assert ranks.attach_by_value(rows, table, ["value"], 400, 400).selectExpr("sum(cnt)").first()[0] == 200 * 200 + 200
+        assert worked_out.value == 201
