@@ -194,3 +194,21 @@ def test_a_measured_response_of_several_groups_is_no_class(spark, build, databas
     assert report.code == "-5" and report.importance is None
     report.save(database, "20240109-many", spark)
     assert [r["result"] for r in spark.table(f"{database}.importance").where("jobid = '20240109-many'").collect()] == ["-5"]
+
+
+def test_forests_keep_the_node_that_a_row_has_reached(spark, planted, monkeypatch):
+    obs, _, _ = planted
+    wide = obs.df.select((F.col("y") > 0).cast("int").alias("Label"), F.col("features")[1].alias("a.b"),
+                         F.col("features")[2].alias("c.d"))
+    model, _ = trees.forest_importance(wide, trees=3, depth=3)
+    assert model.stages[3].getOrDefault("cacheNodeIds")
+    made = []
+
+    class Recorded(trees.RandomForestRegressor):
+        def __init__(self, **options):
+            made.append(options)
+            super().__init__(**options)
+
+    monkeypatch.setattr(trees, "RandomForestRegressor", Recorded)
+    trees.bootstrap_importance(obs, rounds=1, trees=3, depth=3).count()
+    assert made[0]["cacheNodeIds"]
