@@ -86,3 +86,31 @@ def test_long_lists_are_set_aside_without_loss():
             n = len(np.intersect1d(sets[i], sets[j]))
             if 100 * n >= 60 * (80 - n):
                 assert links.root(i) == links.root(j)
+
+
+def test_a_batch_is_cut_into_sets_bit_by_bit(monkeypatch, docs, rows):
+    """No task holds the sets of a whole batch at once; what is found does not change."""
+    monkeypatch.setattr(jaccard, "CHUNK", 2_000)
+    sizes, sets_of = [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "sets_of", lambda o, d, size: sizes.append((len(d), len(o) - 1)) or sets_of(o, d, size))
+    source = docs(rows)
+    got = {}
+
+    class Here:
+        """The function that tasks run, on all rows as one batch."""
+
+        def __init__(self, df):
+            self.df, self.sparkSession, self.columns, self.schema = df, df.sparkSession, df.columns, df.schema
+
+        def select(self, *some):
+            return Here(self.df.select(*some))
+
+        def mapInArrow(self, run, schema):
+            table = self.df.toArrow().combine_chunks()
+            got["rows"] = [r for b in run(iter(table.to_batches())) for r in b.to_pylist()]
+            return got["rows"]
+
+    jaccard._described(Here(source), 4)
+    assert max(n for n, texts in sizes if texts > 1) <= 2_000 and len(sizes) > 10
+    found = sorted((str(r["doc_id"]), r["n"]) for r in got["rows"] if r["sid"] is not None)
+    assert found == sorted((str(i), len(shingles(t, 4))) for i, t in rows)

@@ -68,12 +68,12 @@ def _features() -> object:
     """Sorted distinct places of each text."""
 
     def work(offsets, data):
-        places, bounds = [np.zeros(0, np.int64)], [0]
+        places, bounds = [np.zeros(0, np.int32)], [0]
         for _, o, d in texts.chunks(offsets, data, CHUNK):
             parts = list(_grams(o, d))
             both = np.unique(np.concatenate([(t << BITS) | p for t, p in parts]))
             ends = np.searchsorted(both, np.arange(1, len(o)) << BITS)
-            places.append(both & ((1 << BITS) - 1))
+            places.append((both & ((1 << BITS) - 1)).astype(np.int32))
             bounds.extend((bounds[-1] + ends).tolist())
         return [texts.lists(np.concatenate(places), np.array(bounds), pa.int32())]
 
