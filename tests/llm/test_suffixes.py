@@ -74,3 +74,29 @@ def test_passages_are_found_from_the_length_on(docs):
     for i, n in enumerate(sizes):
         assert found[2 * i] == found[2 * i + 1] == (n if n >= 400 else 0), n
     assert not any(found[1000 + i] for i in range(20))
+
+
+def test_segments_of_an_anchor_meet_whatever_join_they_come_from(spark):
+    """A join that is planned by sorting and turns into a broadcast reads its other side file by file."""
+    draw = random.Random(21)
+    text = lambda n: bytes(draw.choice(b"abcdefghijklmnop ") for _ in range(n))
+    rows, expected = [], []
+    for key in range(200):  # a passage in two segments of each key
+        passage = text(draw.randint(400, 500))
+        for name in (0, 1):
+            front = text(draw.randint(1, 50)) + b"<>"[name:name + 1]
+            rows.append((key, name, front + passage + b"()"[name:name + 1]))
+            expected.append((key, name, len(front), len(front) + len(passage) - 400))
+    draw.shuffle(rows)
+    set_to = {"spark.sql.autoBroadcastJoinThreshold": "30k",  # more than the keys have, less than the segments
+              "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        segments = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "key bigint, name bigint, bytes binary")
+        keys = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(200)], 2), "key bigint")
+        assert sorted(tuple(r) for r in suffixes._shard_ranges(segments.join(keys, "key"), 400).collect()) == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
