@@ -36,3 +36,21 @@ def test_correlations_are_worked_out_once(spark):
     from yieldscope.catalog import preparing
     plan = preparing.rho(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_clustering_report_is_whole(spark, monkeypatch):
+    """The query hands no size of its own to the report: searches, starts and forests are the operator's."""
+    from yieldscope.catalog import models
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def report(obs, *sizes, **named):
+        asked.append((sizes, named))
+        raise Asked
+
+    monkeypatch.setattr(models.reports, "clustering_report", report)
+    with pytest.raises(Asked):
+        entry_module.queries()["m29_clustering_report"](spark, SF)
+    assert asked == [((), {})]
